@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, perspectives, secrets, urlfilter
+from tessella.llm import fingerprints, mixing, perspectives, pieces, repetition, secrets, urlfilter
 from tessella.llm.common import read
 
 #: Rules of op5: fixed values.
@@ -20,11 +20,26 @@ URL_RULES = [
 ]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, and whether decoding gives the text back (markers in it read as spaces)."""
+    docs = read(spark, sf_dir, "documents")
+    coded = pieces.round_trip(docs)
+    return coded.select("doc_id", "ids", "n_pieces", "n_bytes", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document: weights 3, 1, 2, share 150 %, at most 2 copies."""
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict on repetition inside every text."""
+    return repetition.judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_repeat_chars", "longest_repeat",
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL."""
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
@@ -50,6 +65,11 @@ def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(read(spark, sf_dir, "conversations"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every text and its edited text, and their likeness."""
+    return fingerprints.compare(read(spark, sf_dir, "documents"))
+
+
 def _kind_sql(rank: int, rule: secrets.Rule) -> str:
     pattern = rule.pattern.replace("'", "''")
     return f"""
@@ -95,8 +115,19 @@ SELECT conv_id, perspective, turn, role_name, segment, (up_to - length(segment))
 FROM p"""
 
 
+_QUERIES = (
+    op1_sentencepiece,
+    op3_mix_sources,
+    op4_repetition,
+    op5_url_filter,
+    op6_secret_scan,
+    op8_chat_perspectives,
+    op9_fingerprints,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op5_url_filter, op6_secret_scan, op8_chat_perspectives)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
