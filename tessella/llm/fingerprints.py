@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+
 #: Cells of the stored fingerprint; retries take GROWTH times as many.
 CELLS = 32
 GROWTH = 4
@@ -236,6 +238,7 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     null text counts as empty; two texts without paragraphs are alike (1). Rows of equal key and text follow
     each other in any order, with equal results. Other columns are not read; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = (
         f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessella.session import ship
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Score of an uncovered character below the lowest piece score, as SentencePiece has it.
@@ -205,6 +207,7 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     ``decoded`` equals the text but for literal markers, which read as spaces. Null and empty texts have no ids
     and decode to "". Repeated rows give equal rows; other columns are not read.
     """
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

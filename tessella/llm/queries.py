@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import fingerprints, mixing, perspectives, pieces, repetition, secrets, urlfilter
+from tessella.llm import fingerprints, mixing, neardup, perspectives, pieces, repetition, secrets, urlfilter
 from tessella.llm.common import read
 
 #: Rules of op5: fixed values.
@@ -27,6 +27,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", "n_pieces", "n_bytes", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return neardup.group(read(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document: weights 3, 1, 2, share 150 %, at most 2 copies."""
     return mixing.mix(read(spark, sf_dir, "documents"))
@@ -117,6 +122,7 @@ FROM p"""
 
 _QUERIES = (
     op1_sentencepiece,
+    op2_near_duplicates,
     op3_mix_sources,
     op4_repetition,
     op5_url_filter,

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessella.session import ship
+
 #: Words that a repeated substring has at least.
 LEAST = 5
 #: Base rules: fewer words than this, or more than this percentage of words in repeats, fail.
@@ -147,6 +149,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     characters in repeats and no repeat of over 50 words. A null text has no words and fails. Repeated rows are
     judged alike; other columns are not read. Texts are ranked in runs of bounded size; one text is never split.
     """
+    ship(docs.sparkSession)
     from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
