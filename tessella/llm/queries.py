@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import fingerprints, mixing, neardup, perspectives, pieces, repetition, secrets, urlfilter
+from tessella.llm import fingerprints, langid, layout, mixing, neardup, perspectives, pieces, repetition, secrets, urlfilter
 from tessella.llm.common import read
 
 #: Rules of op5: fixed values.
@@ -65,6 +65,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation, rendered for each participant."""
     return perspectives.rotate(read(spark, sf_dir, "conversations"))
@@ -75,6 +80,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(read(spark, sf_dir, "documents"))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return layout.extract(read(spark, sf_dir, "pages"))
+
+
 def _kind_sql(rank: int, rule: secrets.Rule) -> str:
     pattern = rule.pattern.replace("'", "''")
     return f"""
@@ -127,8 +137,10 @@ _QUERIES = (
     op4_repetition,
     op5_url_filter,
     op6_secret_scan,
+    op7_language,
     op8_chat_perspectives,
     op9_fingerprints,
+    op10_page_text,
 )
 
 
