@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tessella.session import ship
 
@@ -41,6 +42,7 @@ BATCH = 48
 RATE = 0.3
 DECAY = 1e-5
 
+_PREDICTED = (StructField("lang_pred", StringType()), StructField("score", DoubleType()))
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -304,8 +306,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 )
                 start = stop
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return docs.select(key, text).mapInArrow(run, StructType([docs.schema[key], *_PREDICTED]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -320,3 +321,14 @@ def identify(docs: DataFrame) -> DataFrame:
     model = train(training_sample(docs, ~held_out))
     found = predict(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Documents whose language is found with a score of at least ``least``; lang becomes the found one.
+
+    Texts without letters go. The model learns from the labelled rows of ``docs`` themselves; without any, all rows go.
+    """
+    model = train(training_sample(docs, F.lit(True)))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text"))
+    found = predict(rows, model, "row").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import durable, word_count
@@ -57,6 +57,32 @@ def _bits(level: int):
     return F.shiftrightunsigned("hash", 64 - LEVEL_BITS * (level + 1)).bitwiseAND(F.lit(2**LEVEL_BITS - 1))
 
 
+def _sized(docs: DataFrame, seed: int, *columns: str) -> DataFrame:
+    """Size, hash and source key of each document, with the named columns."""
+    return docs.select(
+        *columns,
+        word_count("text").alias("size"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("hash"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"),
+    )
+
+
+def _copies() -> Column:
+    """How often the mix takes a document: whole copies, and one more below the threshold of its source."""
+    below = F.shiftrightunsigned("hash", 64 - LEVEL_BITS * LEVELS) < F.col("cut")
+    return F.col("copies") + below.cast("long")
+
+
+def repeat(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """The mix itself: each document as often as ``mix`` takes it, with all its columns; those not taken go."""
+    sized = durable(_sized(docs, seed, "doc_id", "source"))
+    cuts = thresholds(sized, weights, share, cap).select("key", "copies", "cut")
+    rows = _sized(docs.select("doc_id", "text", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("row")), seed, "row")
+    taken = rows.join(cuts, "key").withColumn("times", _copies().cast("int")).where("times > 0")
+    once = taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy"))
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def mix(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17
 ) -> DataFrame:
@@ -67,15 +93,14 @@ def mix(
     no rows. The hash is of doc_id and text, so rows that agree in both are taken or left together; this holds
     too for documents that agree in the first 36 hash bits. Other columns of ``docs`` are not read.
     """
-    sized = durable(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count("text").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", "text").alias("hash"),
-            F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"),
-        )
-    )
+    sized = durable(_sized(docs, seed, "doc_id", "source"))
+    cuts = thresholds(sized, weights, share, cap)
+    taken = (F.col("size") * _copies()).alias("taken")
+    return sized.join(cuts, "key").select("doc_id", "source", "size", "source_size", "target", taken)
+
+
+def thresholds(sized: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """Of each source: key, source_size, target, whole copies, and the cut below which hashes give one more copy."""
     first = sized.groupBy("key", _bits(0).alias("bucket")).agg(
         F.first("source").alias("source"), F.sum("size").alias("words")
     )
@@ -119,13 +144,4 @@ def mix(
             )
         )
     near = F.when(2 * F.col("rest") >= F.col("words"), 1).otherwise(0)
-    cuts = plan.select("key", "source_size", "target", "copies", (F.col("prefix") + near).alias("cut"))
-    below = F.shiftrightunsigned("hash", 64 - LEVEL_BITS * LEVELS) < F.col("cut")
-    return sized.join(cuts, "key").select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("copies") + below.cast("long"))).alias("taken"),
-    )
+    return plan.select("key", "source_size", "target", "copies", (F.col("prefix") + near).alias("cut"))

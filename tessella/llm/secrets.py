@@ -134,3 +134,21 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(
         F.concat(walked["out"], text.substr(walked["at"] + 1, F.length(text)))
     )
+
+
+def redact_versions(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Documents with every found span masked in their text, and n_chars, where there is one, of the new text.
+
+    Only blobs with findings are joined to, which Spark broadcasts where they are few; all columns stay.
+    """
+    hits = (
+        ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
+        .groupBy("blob")
+        .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("secret_spans"))
+        .withColumnRenamed("blob", "secret_blob")
+    )
+    joined = docs.join(hits, content_address("text") == F.col("secret_blob"), "left")
+    text = F.when(F.col("secret_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("secret_spans")))
+    size = F.when(F.col("secret_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None
+    new = {"text": text, "n_chars": size}
+    return joined.select(*[new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns])
