@@ -1,9 +1,17 @@
-"""All queries of the engine and their SQL."""
+"""All queries of the engine, by name, and the SQL of each that SQL can express."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql() -> dict:
-    return {}
+from tessella.plans import operations, retrieval
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return retrieval.QUERIES | operations.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return retrieval.SQL | operations.SQL
