@@ -47,7 +47,8 @@ def decide(questions: DataFrame) -> DataFrame:
         .when(~F.col("parsed.sufficient_context"), "model_said_insufficient")
         .when(F.size("valid") == 0, "no_valid_citations")
     )
-    q = q.withColumn("reason", reason)
+    unread = F.coalesce(reason.isin("no_results", "below_similarity_gate"), F.lit(False))
+    q = q.withColumn("reason", reason).withColumn("invalid_citations", F.when(unread, F.array().cast("array<int>")).otherwise(F.col("invalid_citations")))
     texts = F.array_join(F.transform("valid", lambda n: F.get("hits", n - 1)["text"]), " ")
     answer_facts = T.facts("parsed.answer")
     missing = T.unsupported_facts(answer_facts, texts)

@@ -86,11 +86,12 @@ _SPEND = "spend AS (SELECT event_id, user_id, ts, round(coalesce(value, 0) * 1e4
 
 
 def budget_daily(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.budget_status(ledger.daily_spend(_spend(spark, d)), DAY_LIMIT)
+    status = ledger.budget_status(ledger.daily_spend(_spend(spark, d)), DAY_LIMIT)
+    return status.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 _DAILY = f"""WITH {_SPEND}, g AS (SELECT user_id, ts::DATE AS day, sum(nano) AS n FROM spend GROUP BY ALL)
-SELECT user_id, day, round(n / 1e9, 9) AS spent, round(greatest({DAY_LIMIT} - n, 0) / 1e9, 9) AS remaining,
+SELECT user_id, day::VARCHAR AS day, round(n / 1e9, 9) AS spent, round(greatest({DAY_LIMIT} - n, 0) / 1e9, 9) AS remaining,
        least(100, round(100.0::DOUBLE * n / {DAY_LIMIT}))::BIGINT AS percent_used, n < {DAY_LIMIT} AS allowed FROM g"""
 
 
@@ -425,11 +426,11 @@ SELECT o_orderkey AS call_id, o_orderkey % 3 <> 0 AS found, CASE WHEN o_orderkey
 
 def product_search(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.split(F.lower("p_type"), " ").alias("tags"), (F.col("p_retailprice") * 100).alias("price"))
-    return answering.product_search(parts, "STEEL", 1500, 100).select("p_partkey", "name")
+    return answering.product_search(parts, "ECO", 950, 100).select("p_partkey", "name")
 
 
-_PRODUCTS = """SELECT p_partkey, p_name AS name FROM part WHERE (contains(lower(p_name), 'steel')
-  OR len(list_filter(string_split(lower(p_type), ' '), lambda t: contains(t, 'steel'))) > 0) AND p_retailprice * 100 <= 150000"""
+_PRODUCTS = """SELECT p_partkey, p_name AS name FROM part WHERE (contains(lower(p_name), 'eco')
+  OR len(list_filter(string_split(lower(p_type), ' '), lambda t: contains(t, 'eco'))) > 0) AND p_retailprice * 100 <= 95000"""
 
 
 def tool_outcomes(spark: SparkSession, d: str) -> DataFrame:

@@ -67,7 +67,8 @@ def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     fused = retrieval.fuse(*_hybrid(spark, d))
-    longs = [F.col(c).cast("long").alias(c) for c in ("vector_rank", "keyword_rank", "position")]
+    # A list that lacks the row gives rank 0.
+    longs = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("vector_rank", "keyword_rank", "position")]
     return fused.select("query_id", "id", *longs, "similarity", "rrf_score", "found_by")
 
 
@@ -83,7 +84,8 @@ f AS (SELECT query_id, id, vector_rank, keyword_rank, similarity,
              round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0), 9) AS rrf_score,
              CASE WHEN vector_rank IS NOT NULL AND keyword_rank IS NOT NULL THEN 'both' WHEN vector_rank IS NOT NULL THEN 'vector' ELSE 'keyword' END AS found_by
       FROM v FULL JOIN k USING (query_id, id))
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS position FROM f) WHERE position <= 5"""
+SELECT * REPLACE (coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank)
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS position FROM f) WHERE position <= 5"""
 
 
 def rrf_by_union(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +116,7 @@ def cache_outcomes(spark: SparkSession, d: str) -> DataFrame:
     ids = lambda c: T.identifiers(F.concat(F.lit("order A-"), (1000 + F.col(c) % 3).cast("string"), F.lit(" please")))
     asked = vectors.where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("request_id"), "user_id", F.col("embedding").alias("q"), ids("vec_id").alias("ids"))
     held = vectors.where(f"vec_id % {EVERY} <> 0").select(F.col("vec_id").alias("entry_id"), "user_id", F.col("embedding").alias("v"), ids("vec_id").alias("entry_ids"))
-    return cache.lookup(asked, held, threshold=0.25)
+    return cache.lookup(asked, held, threshold=0.25).withColumn("entry_id", F.coalesce("entry_id", F.lit(-1)))
 
 
 _CACHE = f"""
@@ -128,7 +130,7 @@ g AS (
   FROM s GROUP BY request_id)
 SELECT request_id, ce IS NOT NULL AS hit,
        CASE WHEN ce IS NOT NULL THEN 'hit' WHEN n = 0 THEN 'empty' WHEN ve IS NOT NULL THEN 'identifier guard' ELSE 'below threshold' END AS reason,
-       coalesce(ce, ve) AS entry_id, coalesce(cs, vs) AS score, blocked FROM g"""
+       coalesce(ce, ve, -1) AS entry_id, coalesce(cs, vs) AS score, blocked FROM g"""
 
 
 def cache_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +198,7 @@ def answer_decision(spark: SparkSession, d: str) -> DataFrame:
     out = answering.decide(asked)
     texts = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return out.select("query_id", "grounded", "reason", "answer", "best_similarity", texts("cited_pages"), texts("invalid_citations"),
-                      F.col("checked_facts").cast("long").alias("checked_facts"), texts("unsupported"), "verdict")
+                      F.coalesce("checked_facts", F.lit(-1)).cast("long").alias("checked_facts"), texts("unsupported"), "verdict")
 
 
 _DECISION = """
@@ -214,8 +216,8 @@ SELECT item_id AS query_id, reason IS NULL AS grounded, reason,
        CASE WHEN reason IS NULL THEN 'grade ' || item_id || ' of 31' END AS answer,
        CASE WHEN kind = 0 OR n = 0 THEN -1.0 ELSE near END AS best_similarity,
        CASE WHEN reason IS NULL THEN item_id || ',' || (item_id + 1) END AS cited_pages,
-       CASE WHEN kind IN (1, 2) THEN '' WHEN kind = 3 THEN '9' WHEN kind = 0 OR n = 0 THEN '1,2,7' ELSE '7' END AS invalid_citations,
-       CASE WHEN reason IS NULL THEN len(facts) END AS checked_facts,
+       CASE WHEN reason IS NULL THEN '7' WHEN reason = 'no_valid_citations' THEN '9' ELSE '' END AS invalid_citations,
+       CASE WHEN reason IS NULL THEN len(facts) ELSE -1 END AS checked_facts,
        CASE WHEN reason IS NULL THEN array_to_string(missing, ',') END AS unsupported,
        CASE WHEN reason IS NULL THEN CASE WHEN len(missing) = 0 THEN 'all_facts_appear_in_citations' ELSE 'some_facts_not_found_in_citations' END END AS verdict
 FROM m"""
