@@ -113,10 +113,10 @@ def mean_ratio(weights: Column, codes: Column) -> Column:
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row: the score that best parts accepted from rejected (mean of both error rates), in steps of 0.01.
+    """One row: the score that best parts accepted from rejected (mean of both error rates), from steps of 0.01.
 
-    ``scored`` has score and accepted. 0 where a class is missing. Ties go to the value nearest to 0. The
-    histogram has one row a step, which the models' smallest probability bounds.
+    ``scored`` has score and accepted. 0 where a class is missing. Of a gap without scores the middle is taken; ties
+    go to the value nearest to 0. The histogram has one row a step, which the models' smallest probability bounds.
     """
     steps = (
         scored.groupBy(F.floor(F.col("score") * STEPS).alias("step"))
@@ -126,14 +126,15 @@ def threshold(scored: DataFrame) -> DataFrame:
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     errors = steps.select(
         "step",
+        ((F.col("step") + F.coalesce(F.lag("step").over(Window.orderBy("step")) + 1, F.col("step"))) / 2).alias("cut"),
         F.coalesce(F.sum("a").over(upward), F.lit(0)).alias("missed"),
         F.coalesce(F.sum("r").over(upward), F.lit(0)).alias("caught"),
         F.sum("a").over(every).alias("all_a"),
         F.sum("r").over(every).alias("all_r"),
     ).where("all_a > 0 and all_r > 0")
     error = F.col("missed") / F.col("all_a") + (F.col("all_r") - F.col("caught")) / F.col("all_r")
-    best = errors.agg(F.min(F.struct(F.round(error, 12).alias("e"), F.abs("step").alias("far"), "step")).alias("best"))
-    return best.select(F.coalesce(F.col("best.step") / STEPS, F.lit(0.0)).alias("threshold"))
+    best = errors.agg(F.min(F.struct(F.round(error, 12).alias("e"), F.abs("cut").alias("far"), "cut")).alias("best"))
+    return best.select(F.coalesce(F.col("best.cut") / STEPS, F.lit(0.0)).alias("threshold"))
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
