@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Word boundary of ASCII words: Java's own \b also counts accented letters.
 B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
+#: The same before a letter or digit: Java tests the following character first, which is cheaper.
+START = r"(?=[A-Za-z0-9])(?<![A-Za-z0-9_])"
+
 #: Patterns of identifiers, of personal data with their labels (order matters), of checkable facts.
 CODE = r"[A-Za-z]{1,4}-[0-9]{3,}"
 NUMBER = r"[0-9][0-9,.]*"
@@ -41,22 +44,35 @@ def clean_text(c: Column | str) -> Column:
     return trim_all(out)
 
 
-def _found(c: Column | str, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+def _text(c: Column | str) -> Column:
+    return c if isinstance(c, Column) else F.col(c)
+
+
+def _found(c: Column | str, pattern: str, sign: str) -> Column:
+    """All matches; texts without the cheap ``sign`` of one are not searched."""
+    every = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<string>")
+    return F.when(_text(c).isNull(), None).when(_text(c).rlike(sign), every).otherwise(none)
+
+
+def _replaced(c: Column, pattern: str, label: str, sign: str) -> Column:
+    return F.when(c.rlike(sign), F.regexp_replace(c, pattern, label)).otherwise(c)
 
 
 def identifiers(c: Column | str) -> Column:
     """Sorted distinct lower-cased codes, numbers, e-mail addresses and quoted strings of a text."""
-    every = F.concat(_found(c, B + CODE + B), _found(c, B + NUMBER + B), _found(c, B + EMAIL + B), _found(c, QUOTED))
+    every = F.concat(
+        _found(c, START + CODE + B, "[A-Za-z]-[0-9]{3}"), _found(c, START + NUMBER + B, "[0-9]"), _found(c, B + EMAIL + B, "@"), _found(c, QUOTED, '"')
+    )
     return F.array_sort(F.array_distinct(F.transform(every, F.lower)))
 
 
 def redact(c: Column | str) -> Column:
     """Text with e-mail addresses, card, phone and tax numbers replaced by labels, in this order."""
-    out = F.regexp_replace(c, B + EMAIL + B, "[email]")
-    out = F.regexp_replace(out, B + CARD + B, "[card]")
-    out = F.regexp_replace(out, PHONE + B, "[phone]")
-    return F.regexp_replace(out, B + PAN + B, "[pan]")
+    out = _replaced(_text(c), B + EMAIL + B, "[email]", "@")
+    out = _replaced(out, START + CARD + B, "[card]", "[0-9](?:[ -]?[0-9]){12}")
+    out = _replaced(out, PHONE + B, "[phone]", "[0-9](?:[ -]?[0-9]){7}")
+    return _replaced(out, START + PAN + B, "[pan]", "[A-Z]{5}[0-9]{4}")
 
 
 def captured(c: Column, mode: str) -> Column:
@@ -82,7 +98,7 @@ def edge_lines(page: Column | str) -> Column:
 
 def facts(c: Column | str) -> Column:
     """Numbers and codes of an answer that its citations should hold; lower-cased, a last . or , dropped."""
-    every = F.concat(_found(c, B + FACT_NUMBER + B), _found(c, B + FACT_CODE + B))
+    every = F.concat(_found(c, START + FACT_NUMBER + B, "[0-9]"), _found(c, START + FACT_CODE + B, "[A-Z]-[0-9]"))
     return F.array_distinct(F.transform(every, lambda f: F.regexp_replace(F.lower(f), "[.,]$", "")))
 
 

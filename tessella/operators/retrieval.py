@@ -90,9 +90,11 @@ def _nearest(block: list, k: int):
     return run
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Inverted index: (term, id, tf)."""
+def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """Inverted index: (term, id, tf), of all terms or of those in ``only``, which are then kept before they are counted."""
     terms = docs.select(F.col(key).alias("id"), F.explode(T.tokens(text)).alias("term"))
+    if only is not None:
+        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     return terms.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
@@ -107,7 +109,9 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 def keyword_search(terms: DataFrame, index: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """Rows that hold any term of a query, by the sum of 0.1 * sum(1/j^2, j <= tf) / ZETA2 over the terms, per query term."""
     weight = F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
-    hits = index.join(terms, "term").select("query_id", "id", (0.1 * weight / ZETA2 / F.col("n_terms")).alias("part"))
+    # A posting's weight is worked out once, not once for each query that holds its term.
+    weighed = index.select("term", "id", (0.1 * weight / ZETA2).alias("weight"))
+    hits = weighed.join(terms, "term").select("query_id", "id", (F.col("weight") / F.col("n_terms")).alias("part"))
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
     return top_k(scored, "query_id", F.desc("score"), "id", k)
 

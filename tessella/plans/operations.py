@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import answering, evals, ingest, ledger
 from tessella.sources import sse
-from tessella.sources.files import table
+from tessella.sources.files import spread, table
 
 MODELS = ("openai/gpt-oss-120b", "openai/gpt-oss-20b", "unlisted-model")
 
@@ -303,7 +303,7 @@ SELECT query_id, list_contains(got, a) OR list_contains(got, b) AS hit, (list_co
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"), "text")
+    return spread(table(spark, d, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"), "text"))
 
 
 def extraction_assessment(spark: SparkSession, d: str) -> DataFrame:
@@ -346,7 +346,7 @@ def dedup_checksum(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every document, each taken as one page."""
-    pages = table(spark, d, "documents").select(F.col("doc_id").alias("document"), F.lit(1).alias("page"), "text")
+    pages = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("document"), F.lit(1).alias("page"), "text")
     return ingest.chunks(pages)
 
 
@@ -375,7 +375,7 @@ SELECT l_returnflag AS flag, count(*) AS lines, (SELECT count(*) FROM k) AS orde
 
 def identifier_extract(spark: SparkSession, d: str) -> DataFrame:
     ids = T.identifiers("text")
-    return table(spark, d, "documents").select("doc_id", F.array_join(ids, "|").alias("identifiers"), F.size(ids).cast("long").alias("n"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(ids, "|").alias("identifiers"), F.size(ids).cast("long").alias("n"))
 
 
 _IDENTIFIERS = r"""
@@ -385,7 +385,7 @@ SELECT doc_id, array_to_string(ids, '|') AS identifiers, len(ids)::BIGINT AS n F
 
 
 def redact_pii(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.redact("text").alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.redact("text").alias("text"))
 
 
 _REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[email]', 'g'),
@@ -393,7 +393,7 @@ _REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({0},
 
 
 def capture_modes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     digest = lambda mode: F.sha2(T.captured(F.col("text"), mode), 256)
     return docs.select("doc_id", T.captured(F.col("text"), "none").alias("none"), digest("full").alias("full"), digest("redacted").alias("redacted"))
 
@@ -403,7 +403,7 @@ _CAPTURE = f"SELECT doc_id, NULL::VARCHAR AS none, sha256({_CAPPED}) AS \"full\"
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2(T.clean_text("text"), 256).alias("text_sha256"), T.preview("text").alias("preview"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(T.clean_text("text"), 256).alias("text_sha256"), T.preview("text").alias("preview"))
 
 
 _CLEAN = r"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.functions import vector as V
 from tessella.operators import answering, cache, retrieval
-from tessella.sources.files import table
+from tessella.sources.files import spread, table
 
 #: Queries are all rows whose id is divisible by this, against all rows.
 EVERY = 100
@@ -38,7 +38,7 @@ WHERE rank <= 20"""
 
 def keyword_search_or(spark: SparkSession, d: str) -> DataFrame:
     terms = retrieval.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    found = retrieval.keyword_search(terms, retrieval.postings(table(spark, d, "documents"), "doc_id", "text"))
+    found = retrieval.keyword_search(terms, retrieval.postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", terms))
     return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -225,7 +225,7 @@ FROM m"""
 
 def fact_support(spark: SparkSession, d: str) -> DataFrame:
     """Facts of every document, against the text of the document of the previous number."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("cited"))
     both = docs.select("doc_id", T.facts("text").alias("facts")).join(before, "doc_id")
     missing = T.unsupported_facts(F.col("facts"), F.col("cited"))

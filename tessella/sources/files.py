@@ -19,6 +19,15 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan yields fewer partitions than there are; a large table stays as it is.
+
+    One file of one row group is one task, whatever its work. A scan of many files never meets the condition.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     """PDF files of a folder with content and checksum: (path, filename, length, content, checksum, problem)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
