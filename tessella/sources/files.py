@@ -29,10 +29,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
-    """PDF files of a folder with content and checksum: (path, filename, length, content, checksum, problem)."""
+    """PDF files of a folder with content and checksum: (path, filename, length, content, checksum, problem). Spark skips empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
     name = safe_filename(F.element_at(F.split("path", "/"), -1))
-    problem = F.when(F.col("length") > MOST_BYTES, "too large").when(F.col("length") == 0, "empty")
+    problem = F.when(F.col("length") > MOST_BYTES, "too large")
     return files.select("path", name.alias("filename"), "length", "content", F.sha2("content", 256).alias("checksum"), problem.alias("problem"))
 
 
