@@ -2,7 +2,7 @@
 
 Words carry affix, character n-gram and lexicon features with weights by language; learned transitions tie
 neighbouring words, so code-switched text is labelled word by word. Forward-backward gives each word's
-marginals; a text's language is the one of highest mean marginal. The field is fitted on the driver on a bounded
+marginals; a text's language is the one of highest mean marginal. The field is fitted in one task on a bounded
 sample of labelled texts, from which it also makes code-switched training sequences. Texts of any length are
 scored whole: sequences are cut into blocks whose transfer matrices are multiplied first, so many blocks advance
 at once and the result is that of the plain recursion.
@@ -10,6 +10,7 @@ at once and the result is that of the plain recursion.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -36,7 +37,7 @@ SEQUENCE = 48
 BLOCK = 32
 CHUNK_WORDS = 120_000
 #: Remembered words of a worker; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 EPOCHS = 6
 BATCH = 48
 RATE = 0.3
@@ -104,15 +105,14 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
         return model
     rng = np.random.default_rng(seed)
     number = {lang: k for k, lang in enumerate(languages)}
-    counts: dict[str, Counter] = {}
-    for text, lang in samples:
-        for w in words_of(text):
-            counts.setdefault(w, Counter())[number[lang]] += 1
-    for w, c in counts.items():
-        total = sum(c.values())
-        if total >= 3:
-            model.lexicon[w] = tuple(sorted(k for k, n in c.items() if 3 * n >= total))
     words, labels = _training_sequences(samples, number, rng)
+    counts = Counter(zip(words, labels.tolist(), strict=True))
+    totals = Counter(words)
+    held: dict[str, list[int]] = {}
+    for (w, k), n in counts.items():
+        if totals[w] >= 2 and 3 * n >= totals[w]:
+            held.setdefault(w, []).append(k)
+    model.lexicon.update({w: tuple(sorted(ks)) for w, ks in held.items()})
     distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
     slots = [features(w, model.lexicon) for w in distinct]
     ids = np.array([distinct[w] for w in words]).reshape(-1, SEQUENCE)
@@ -263,19 +263,37 @@ def block_marginals(sequences: list[np.ndarray], t: np.ndarray) -> np.ndarray:
     return np.add.reduceat(total[at], first, axis=0)
 
 
-def training_sample(docs: DataFrame, learn: Column, texts: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """At most ``texts`` labelled rows of each language, those of least hash, gathered on the driver.
+def training_sample(docs: DataFrame, learn: Column, texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """(lang, draw, text) of at most ``texts`` labelled rows of each language, those of least hash.
 
-    Only hashes are ranked (map-side first); texts are read for the chosen rows alone.
+    Only hashes are ranked (map-side first); texts are read for the chosen rows alone. Copies of a row have one draw,
+    and one text of each is enough.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     marked = labelled.select("lang", "text", F.xxhash64(F.lit(29), "doc_id", "text").alias("draw"))
     ranked = marked.select("lang", "draw").distinct()
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= texts)
     chosen = marked.join(F.broadcast(ranked.select("lang", "draw")), ["lang", "draw"])
-    # Copies of a row have one draw; one text of each is enough.
-    rows = chosen.groupBy("lang", "draw").agg(F.first("text").alias("text")).orderBy("lang", "draw").collect()
-    return [(r["text"], r["lang"]) for r in rows]
+    return chosen.groupBy("lang", "draw").agg(F.first("text").alias("text"))
+
+
+def fit(docs: DataFrame, learn: Column) -> Model:
+    """Model learned from the labelled rows where ``learn`` holds.
+
+    The bounded sample meets in one task, which trains; the driver only gets the model, whose size is fixed but for
+    the number of languages.
+    """
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        rows.sort(key=lambda r: (r["lang"], r["draw"]))
+        model = train([(r["text"], r["lang"]) for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The sample's texts differ in size only within its bound, so one task holds them.
+    trained = training_sample(docs, learn).coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(trained[0]["model"]) if trained else train([])
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -318,7 +336,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     held_out = F.coalesce(remainder == 1, F.lit(False))
-    model = train(training_sample(docs, ~held_out))
+    model = fit(docs, ~held_out)
     found = predict(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -328,7 +346,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     Texts without letters go. The model learns from the labelled rows of ``docs`` themselves; without any, all rows go.
     """
-    model = train(training_sample(docs, F.lit(True)))
+    model = fit(docs, F.lit(True))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text"))
     found = predict(rows, model, "row").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
     return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
