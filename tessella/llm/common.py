@@ -40,3 +40,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name.replace(' ', '_')}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and broadcasts of finished rounds, which it does once the driver's garbage is
+    collected; an iterative job on a large driver heap would keep them all otherwise."""
+    spark.sparkContext._jvm.System.gc()
