@@ -5,13 +5,13 @@ class has a sketch of 128 compressed registers: the least hash of each bucket as
 ten mantissa bits; empty buckets borrow from others by a fixed probe. Bands of four registers bring classes
 together; a band shared by few classes gives all their pairs, one shared by many pairs each class with the
 band's most popular member. The collision-corrected Jaccard estimate drops pairs far below the threshold, and
-the full shingle sets decide on the rest. Further rounds then pair what a band still holds apart, with other
-partners, until a round finds no new link between groups; so a group of any size costs a few pairs a member.
+the full shingle sets decide on the rest. Then every pair that a band of many classes still holds in two groups
+is compared, in blocks of bounded size: sketches first, full sets of those that are near any. Only pairs inside
+the largest group that a band holds are left out, as their group is proven.
 
 Loss: a pair at the threshold (0.85) shares none of 32 bands with probability 6e-11, and lies six standard
-errors below its estimate with 1e-9. In a band of many classes a class is compared with a few partners a
-round, not with all; a link is lost only if its two ends meet in no small band and every partner that each
-is given in all shared bands fails, which the tests hold against brute force on groups of that kind.
+errors below its estimate with 1e-9. Nothing is lost beyond that, in bands of any size; a band of m classes,
+r of them outside its largest group, costs about r * (m - r / 2) comparisons of sketches.
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ BAND = 4
 THRESHOLD = 85
 #: Bands of at most this many classes give all their pairs.
 SMALL = 8
+#: Classes, and their shingles, that one side of a block of comparisons has on average at most.
+BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
 #: Standard errors below the threshold at which an estimate drops a pair.
 MARGIN = 6.0
 _PROBES = 64
@@ -186,20 +189,94 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     return all_pairs.union(stars).distinct()
 
 
-def _further_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """In bands of many members, partners for those outside the head's group: one of that group and one of the rest."""
-    large = members.where(F.col("together") > SMALL)
+def _blocks(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(block, cid, label): members of large bands that hold several groups, so that any two of two groups share a block.
+
+    A band's largest group and the rest of its members are each dealt to blocks by hash; each block of the rest meets
+    every other block. A band whose members are one group already has none.
+    """
+    large = members.where(F.col("together") > SMALL).select("band", "cid").join(classes.select("cid", "n_shingles"), "cid")
     named = large.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = named.withColumn("draw", F.xxhash64(F.lit(turn), "band", "cid"))
-    heads = named.groupBy("band").agg(F.max_by("label", F.struct("popular", "cid")).alias("main"))
-    parted = named.join(heads, "band").withColumn("inside", F.col("label") == F.col("main"))
-    picks = parted.groupBy("band").agg(
-        F.max_by("cid", F.when(F.col("inside"), F.col("draw"))).alias("one"),
-        F.max_by("cid", F.when(~F.col("inside"), F.struct("popular", "draw") if turn % 2 else F.struct("draw", "popular"))).alias("two"),
+    parts = named.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    most = lambda c: F.max_by(c, F.struct("n", "label"))
+    needed = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES))
+    split = (
+        parts.groupBy("band")
+        .agg(most("label").alias("main"), most("n").alias("n"), most("size").alias("size"), F.sum("n").alias("all_n"), F.sum("size").alias("all_size"))
+        .where("all_n > n")
+        .select(
+            "band",
+            "main",
+            needed(F.col("n"), F.col("size")).alias("inner"),
+            needed(F.col("all_n") - F.col("n"), F.col("all_size") - F.col("size")).alias("outer"),
+        )
     )
-    rest = parted.where(~F.col("inside")).select("band", "cid").join(picks.where("two is not null"), "band")
-    partners = rest.select("cid", F.explode(F.array("one", "two")).alias("other")).where("other <> cid")
-    return partners.select(*_ordered("cid", "other")).distinct()
+    inside = F.col("label") == F.col("main")
+    held = named.join(split, "band").withColumn("own", F.pmod(F.xxhash64("band", "cid"), F.when(inside, F.col("inner")).otherwise(F.col("outer"))))
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    block = lambda kind, i, j: F.xxhash64("band", F.lit(kind), i, j)
+    own = F.col("own")
+    across = F.when(inside, F.transform(numbers("outer"), lambda j: block(0, own, j))).otherwise(F.transform(numbers("inner"), lambda i: block(0, i, own)))
+    others = F.transform(F.filter(numbers("outer"), lambda k: k != own), lambda k: block(1, F.least(k, own), F.greatest(k, own)))
+    seats = F.when(inside, across).otherwise(F.concat(across, others))
+    return held.select(F.explode(seats).alias("block"), "cid", "label")
+
+
+def _outside(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels as numbers from 0, and the rows that are not of the most frequent one."""
+    _, group_of, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    return group_of, np.flatnonzero(group_of != counts.argmax())
+
+
+def _near_any(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (block, cid, label) whose size and sketch are not far from those of some member of another group in the block."""
+    share = THRESHOLD / 100
+
+    def run(table: pa.Table) -> pa.Table:
+        sketch = table.column("registers").combine_chunks().flatten().to_numpy().reshape(-1, REGISTERS)
+        size = table.column("n_shingles").to_numpy()
+        group_of, outside = _outside(table.column("label").to_numpy())
+        near = np.zeros(len(size), dtype=bool)
+        for i in outside:
+            # Accidental agreement only raises the share of equal registers, so none is dropped for it.
+            equal = (sketch == sketch[i]).sum(axis=1) / REGISTERS
+            error = np.sqrt(share * (1 - share) / np.minimum(REGISTERS, np.minimum(size, size[i])))
+            sized = 100 * np.minimum(size, size[i]) >= THRESHOLD * np.maximum(size, size[i])
+            found = sized & (group_of != group_of[i]) & (equal >= share - MARGIN * error)
+            near |= found
+            near[i] |= found.any()
+        return table.select(["block", "cid", "label"]).filter(pa.array(near))
+
+    held = blocks.join(classes.select("cid", "n_shingles", "registers"), "cid").select("block", "cid", "label", "n_shingles", "registers")
+    return held.groupBy("block").applyInArrow(run, "block long, cid long, label long")
+
+
+def _bridges(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) whose full sets meet the threshold, enough to join all groups that are linked inside a block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid = table.column("cid").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        _, shingle = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        holders = row[np.argsort(shingle, kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+        start = np.concatenate([[0], np.cumsum(size)])
+        group_of, outside = _outside(table.column("label").to_numpy())
+        a, b = [], []
+        for i in outside:
+            common = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in shingle[start[i] : start[i + 1]]]), minlength=len(size))
+            linked = np.flatnonzero((100 * common >= THRESHOLD * (size[i] + size - common)) & (group_of != group_of[i]))
+            met, at = np.unique(group_of[linked], return_index=True)
+            a += [cid[i]] * len(met)
+            b += cid[linked[at]].tolist()
+            group_of[np.isin(group_of, met)] = group_of[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    held = blocks.join(sets, "cid").select("block", "cid", "label", "shingles")
+    found = held.groupBy("block").applyInArrow(run, "a long, b long")
+    return found.select(*_ordered("a", "b")).distinct()
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,26 +320,11 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     release(docs.sparkSession)
     links = durable(_linked(pairs, sets))
     labels = components(links)
-    tried = pairs.select("a", "b")
-    turn = 0
-    while True:
-        turn += 1
-        release(docs.sparkSession)
-        fresh = _further_pairs(members, labels, turn).join(tried, ["a", "b"], "left_anti")
-        more = durable(_promising(fresh, classes))
-        named = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}"))
-        found = durable(_linked(more, sets))
-        bridging = (
-            found.join(named("a"), "a", "left")
-            .join(named("b"), "b", "left")
-            .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        )
-        if not bridging.limit(1).count():
-            break
-        release(docs.sparkSession)
-        tried = tried.union(more.select("a", "b"))
-        links = links.union(found)
-        labels = components(links)
+    release(docs.sparkSession)
+    near = durable(_near_any(_blocks(members, labels, classes), classes))
+    bridges = durable(_bridges(near, sets))
+    if bridges.limit(1).count():
+        labels = components(links.union(bridges))
     release(docs.sparkSession)
     lowest = (
         classes.select("cid", "class_id")

@@ -72,6 +72,19 @@ def test_large_group_of_near_copies_has_every_link(spark):
     check(spark, edited_copies(2, 1, 260, 9) + [(1000 + i, f"alone {i} " + " ".join(f"q{i * 50 + k}" for k in range(40))) for i in range(20)])
 
 
+def test_large_group_without_a_central_text_has_every_link(spark):
+    # No copy is the base: each has 2 to 4 edits, so most pairs lie below the threshold and no member links to all.
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(1100):
+        copy = list(base)
+        for k in rng.sample(range(150), rng.randrange(2, 5)):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    check(spark, rows)
+
+
 def test_shared_passage_makes_no_group(spark):
     rng = random.Random(3)
     passage = " ".join(f"p{k}" for k in range(60))
