@@ -124,31 +124,41 @@ def break_even(cheap: tuple[float, float], strong: tuple[float, float], shape: t
     return {"cost_ratio": round(ratio, 3), "max_escalation_rate": round(1 - ratio, 3)}
 
 
-def span_tree(spans: DataFrame, most_levels: int = 32) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """Depth and root of every span, by pointer jumping on the parent column: (trace_id, span_id, depth, root_id).
 
-    Each step doubles the distance covered, so a tree of depth d takes log2(d) joins on (trace_id, span_id).
-    A span whose parent is missing is a root.
+    Each step doubles the distance covered and cuts the lineage, until every pointer is at a root; so a tree of depth d
+    takes log2(d) joins on (trace_id, span_id), whatever d is. A span whose parent is missing is a root. Spans that
+    reach no root, as their parents form a cycle, are left out.
     """
+    context = spans.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spans.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
     ids = spans.select("trace_id", F.col("span_id").alias("up"))
     known = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("up")).join(
         ids.withColumn("there", F.lit(True)), ["trace_id", "up"], "left"
     )
     state = known.select(
-        "trace_id", "span_id", F.when(F.col("there"), F.col("up")).alias("up"), F.when(F.col("there"), 1).otherwise(0).alias("depth")
-    )
+        "trace_id", "span_id", F.when(F.col("there"), F.col("up")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth")
+    ).checkpoint()
+    # No span is deeper than its trace has spans.
+    most = spans.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
     reach = 1
-    while reach < most_levels:
+    while True:
         upper = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        state = state.join(upper, ["trace_id", "up"], "left").select(
+        jumped = state.join(upper, ["trace_id", "up"], "left").select(
             "trace_id",
             "span_id",
             F.coalesce("up2", "up").alias("up"),
             # Past the root there is nothing to add.
             (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-        )
+            F.col("up2").isNotNull().alias("moved"),
+        ).checkpoint()
         reach *= 2
-    return state.select("trace_id", "span_id", "depth", F.coalesce("up", "span_id").alias("root_id"))
+        moving = jumped.where("moved").limit(1).count()
+        if not moving or reach > 2 * most:
+            return jumped.where("not moved").select("trace_id", "span_id", "depth", F.coalesce("up", "span_id").alias("root_id"))
+        state = jumped.drop("moved")
 
 
 def run_totals(turns: DataFrame) -> DataFrame:

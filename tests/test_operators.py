@@ -71,6 +71,13 @@ def test_span_tree(spark):
     assert all(got["t", f"s{i}"] == (i, "s0") for i in range(9)) and got["t", "x"] == (0, "x") and got["u", "s0"] == (0, "s0")
 
 
+def test_span_tree_of_any_depth(spark):
+    rows = [("t", i, i - 1 if i else None) for i in range(150)] + [("u", i, i - 1) for i in range(1, 34)] + [("c", 1, 2), ("c", 2, 1), ("c", 3, 2), ("c", 4, None)]
+    got = {(r["trace_id"], r["span_id"]): (r["depth"], r["root_id"]) for r in ledger.span_tree(spark.createDataFrame(rows, "trace_id string, span_id long, parent_span_id long")).collect()}
+    expected = {("t", i): (i, 0) for i in range(150)} | {("u", i): (i - 1, 1) for i in range(1, 34)} | {("c", 4): (0, 4)}
+    assert got == expected
+
+
 def test_retrieval_scores(spark):
     rows = [([35], [234, 234, 39, 9, 39]), ([35, 34], [34, 1]), (None, [1]), ([7, 7], [1, 2, 7])]
     frame = spark.createDataFrame(rows, "e array<int>, r array<int>").select(evals.retrieval_scores(F.col("e"), F.col("r")).alias("s"))
