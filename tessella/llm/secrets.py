@@ -34,8 +34,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
+#: A private key: its header, then all up to its END line, or the base64 that follows where that line is missing. Only
+#: single character classes repeat without a bound, so long texts need no deep stack.
+_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,20}-----END [A-Z ]*PRIVATE KEY-----"
+    r"|[ \t\r\n\\]{0,8}(?:[A-Za-z]+-[A-Za-z]+:[^\n]*\n){0,4}[ \t\r\n\\]{0,8}[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\r\n\\]*)?"
+)
 ADDED_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _PEM, version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )

@@ -186,3 +186,22 @@ def test_native_plans_hold_no_python(spark, sf_dir):
     for name in ("op3_mix_sources", "op5_url_filter", "op6_secret_scan", "op8_chat_perspectives"):
         plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas|CartesianProduct", plan), name
+
+
+def test_private_key_is_masked_with_its_body(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + f"{i:02d}" + "q7B/x+Zk" * 5 for i in range(25)) + "\nAbc0=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011AABB\n\n"
+    rows = [
+        (1, f"before {begin}\n{body}\n{end} after"),
+        (2, f"before {begin}\n{head}{body}\n{end} after"),
+        (3, f"before {begin}\n{body}\n\n(after)"),
+        (4, "before " + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + " after"),
+        (5, f"before {begin} after, no key"),
+        (6, f"before {begin}\n{body}\n{end} and {begin}\n{head}{body}\n{end} after"),
+        (7, f"before {begin}\n" + body * 800 + " after"),
+    ]
+    docs = docs_of(spark, rows)
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_versions(docs, secrets.scan_unseen(docs)).collect()}
+    assert got[1] == got[2] == got[4] == got[7] == "before [SECRET] after" and got[3] == "before [SECRET](after)"
+    assert got[5] == "before [SECRET] after, no key" and got[6] == "before [SECRET] and [SECRET] after"
