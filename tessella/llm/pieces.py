@@ -10,12 +10,15 @@ run of markers: runs with what follows them are encoded one by one, and frequent
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tessella.session import ship
@@ -24,10 +27,13 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Score of an uncovered character below the lowest piece score, as SentencePiece has it.
 UNKNOWN_PENALTY = 10.0
-#: Remembered units a worker holds at most; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Units of a generation of a worker's memory.
+REMEMBERED = 150_000
 #: Characters of one Arrow output batch, about.
 BATCH_CHARS = 4_000_000
+#: Units that a lattice holds at once, and their bytes at most; longer ones go one by one.
+LATTICE_UNITS = 8_192
+LATTICE_BYTES = 64
 
 _UNIT = re.compile(MARK + "+[^" + MARK + "]*|[^" + MARK + "]+")
 
@@ -44,6 +50,10 @@ class Vocabulary:
     byte_ids: list[int]
     unknown: float
 
+    @cached_property
+    def lattice(self) -> Lattice:
+        return Lattice(self)
+
 
 def double_array(keys: dict[bytes, int]) -> tuple[list[int], list[int], list[int]]:
     """base, check and value of a double-array trie: child c of node s is t = base[s] + c with check[t] = s."""
@@ -87,8 +97,9 @@ def double_array(keys: dict[bytes, int]) -> tuple[list[int], list[int], list[int
     return base, check, value
 
 
+@lru_cache(maxsize=1)
 def load(path: str = MODEL_PATH) -> Vocabulary:
-    """Read a piece file on the driver; the result travels to the tasks (its size is the vocabulary's)."""
+    """Read a piece file on the driver, once; the result travels to the tasks (its size is the vocabulary's)."""
     import sentencepiece
 
     source = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -166,84 +177,206 @@ def viterbi(unit: bytes, v: Vocabulary) -> list[int]:
     return out
 
 
-class Encoder(dict):
-    """Memory of unit -> packed ids; a unit is a run of markers and what follows, or a word without its marker."""
+class Lattice:
+    """Viterbi over many units at once: position by position, the trie is walked for all units that still match."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.vocabulary = vocabulary
+        self.base = np.array(vocabulary.base, dtype=np.int64)
+        self.check = np.array(vocabulary.check, dtype=np.int64)
+        self.piece = np.array(vocabulary.piece, dtype=np.int64)
+        self.score = np.array(vocabulary.score)
+        self.byte_ids = np.array(vocabulary.byte_ids, dtype=np.int32)
+
+    def encode(self, units: list[bytes]) -> list[bytes]:
+        """Packed int32 ids of each unit, equal to those of ``viterbi``; long units go one by one."""
+        out = [b""] * len(units)
+        order = sorted(range(len(units)), key=lambda k: len(units[k]))
+        at = 0
+        while at < len(order) and len(units[order[at]]) <= LATTICE_BYTES:
+            part = [k for k in order[at : at + LATTICE_UNITS] if len(units[k]) <= LATTICE_BYTES]
+            for k, packed in zip(part, self._many([units[k] for k in part])):
+                out[k] = packed
+            at += len(part)
+        for k in order[at:]:
+            out[k] = np.array(viterbi(units[k], self.vocabulary), dtype=np.int32).tobytes()
+        return out
+
+    def _many(self, units: list[bytes]) -> list[bytes]:
+        n, longest = len(units), max(map(len, units))
+        size = np.fromiter(map(len, units), dtype=np.int64, count=n)
+        # A zero column at the end lets walks look one byte ahead; no piece continues past the size of its unit.
+        letters = np.frombuffer(b"".join(u.ljust(longest + 1, b"\0") for u in units), dtype=np.uint8).reshape(n, longest + 1)
+        width = np.where(letters < 0x80, 1, np.where(letters < 0xE0, 2, np.where(letters < 0xF0, 3, 4)))
+        best = np.full((n, longest + 1), -np.inf)
+        best[:, 0] = 0.0
+        start = np.zeros((n, longest + 1), dtype=np.int64)
+        chosen = np.full((n, longest + 1), -1, dtype=np.int64)
+        for i in range(longest):
+            begun = np.flatnonzero((size > i) & (best[:, i] > -np.inf))
+            single = np.zeros(n, dtype=bool)
+            rows, node, j = begun, np.zeros(len(begun), dtype=np.int64), i
+            while len(rows):
+                child = self.base[node] + letters[rows, j]
+                fits = child < len(self.check)
+                fits[fits] = self.check[child[fits]] == node[fits]
+                rows, node, j = rows[fits], child[fits], j + 1
+                found = self.piece[node]
+                ends = found >= 0
+                r, f = rows[ends], found[ends]
+                total = best[r, i] + self.score[f]
+                better = total > best[r, j]
+                r_better = r[better]
+                best[r_better, j], start[r_better, j], chosen[r_better, j] = total[better], i, f[better]
+                single[r[width[r, i] == j - i]] = True
+                goes = size[rows] > j
+                rows, node = rows[goes], node[goes]
+            rows = begun[~single[begun]]
+            end = np.minimum(i + width[rows, i], size[rows])
+            total = best[rows, i] + self.vocabulary.unknown
+            better = total > best[rows, end]
+            rows, end = rows[better], end[better]
+            best[rows, end], start[rows, end], chosen[rows, end] = total[better], i, -1
+        return self._paths(letters, size, start, chosen)
+
+    def _paths(self, letters: np.ndarray, size: np.ndarray, start: np.ndarray, chosen: np.ndarray) -> list[bytes]:
+        rows, at = np.arange(len(size)), size.copy()
+        steps = []
+        while len(rows):
+            begin = start[rows, at]
+            steps.append((rows, begin, at, chosen[rows, at]))
+            left = begin > 0
+            rows, at = rows[left], begin[left]
+        row, begin, end, ids = (np.concatenate(c[::-1]) for c in zip(*steps))
+        # Steps were gathered from the ends on; a stable sort by unit leaves each unit's pieces in order.
+        order = np.argsort(row, kind="stable")
+        row, begin, end, ids = row[order], begin[order], end[order], ids[order]
+        number = np.where(ids >= 0, 1, end - begin)
+        first = np.cumsum(number) - number
+        offset = np.arange(number.sum()) - np.repeat(first, number)
+        whole, of, letter = np.repeat(ids, number), np.repeat(row, number), np.repeat(begin, number) + offset
+        packed = np.where(whole >= 0, whole, self.byte_ids[letters[of, letter]]).astype(np.int32).tobytes()
+        bounds = 4 * np.searchsorted(of, np.arange(len(size) + 1))
+        return [packed[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
 
-    def __missing__(self, word: str) -> bytes:
-        packed = self._unit(MARK + word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = packed
-        return packed
+class Encoder:
+    """Memory of packed ids by unit. A unit is a run of markers and what follows; a single marker is left out of its key.
+
+    The memory has two generations: a full one replaces the one before, and what is met again moves on.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.lattice = vocabulary.lattice
+        self.recent: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def _unit(self, unit: str) -> bytes:
-        return np.array(viterbi(unit.encode(), self.vocabulary), dtype=np.int32).tobytes()
+    def packed(self, keys: list[str]) -> list[bytes]:
+        """Packed int32 ids of distinct units."""
+        recent, before = self.recent, self.before
+        found = [recent.get(k) or before.get(k) for k in keys]
+        lost = [i for i, f in enumerate(found) if f is None]
+        units = [(keys[i] if keys[i][0] == MARK else MARK + keys[i]).encode() for i in lost]
+        for i, ids in zip(lost, self.lattice.encode(units)):
+            found[i] = ids
+        recent.update(zip(keys, found))
+        if len(recent) > REMEMBERED:
+            self.recent, self.before = {}, recent if len(recent) < 3 * REMEMBERED else {}
+        return found
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; none for a null or empty one."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+        counts = np.zeros(len(texts), dtype=np.int64)
+        full = pc.not_equal(texts, "")
+        texts = texts.filter(full)
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        if pc.any(odd).as_py():
+            split = [_UNIT.findall(MARK + t.replace(" ", MARK)) for t in texts.to_pylist()]
+            units = pa.array([[u[1:] if len(u) > 1 and u[1] != MARK else u for u in s] for s in split], pa.list_(pa.string()))
+        else:
+            units = pc.split_pattern(texts, " ")
+        coded = units.flatten().dictionary_encode()
+        packed = self.packed(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        ids, place = spread(np.frombuffer(b"".join(packed), dtype=np.int32), size, coded.indices.to_numpy())
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(units).to_numpy())])
+        counts[full.to_numpy(zero_copy_only=False)] = np.diff(np.concatenate([[0], place])[bounds])
+        return ids, counts
 
     def encode(self, text: str | None) -> bytes:
-        """Packed int32 ids; none for a null or empty text."""
-        if not text:
-            return b""
-        text = text.replace(MARK, " ")
-        if "  " not in text and text[0] != " " and text[-1] != " ":
-            return b"".join(map(self.__getitem__, text.split(" ")))
-        units = _UNIT.findall(MARK + text.replace(" ", MARK))
-        plain = lambda u: len(u) > 1 and u[1] != MARK
-        return b"".join([self[u[1:]] if plain(u) else self._unit(u) for u in units])
+        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
+
+
+def spread(flat: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of consecutive runs of ``size`` values in ``flat``, the chosen ones one after another, and where each ends."""
+    number = size[chosen]
+    stops = np.cumsum(number)
+    first = (np.cumsum(size) - size)[chosen] - (stops - number)
+    return flat[np.arange(number.sum()) + np.repeat(first, number)], stops
+
+
+class Decoder:
+    """Bytes of ids, looked up for many ids at once."""
+
+    def __init__(self, surface: list[bytes]):
+        self.flat = np.frombuffer(b"".join(surface), dtype=np.uint8)
+        self.size = np.array([len(s) for s in surface], dtype=np.int64)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Bytes of consecutive runs of ``counts`` ids, without the space that encoding puts in front."""
+        letters, stops = spread(self.flat, self.size, ids)
+        data = letters.tobytes()
+        bounds = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [data[a + data.startswith(b" ", a, b) : b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def decode_ids(ids: list[int], surface: list[bytes]) -> str:
     """Text of ids: byte pieces join to UTF-8 (replaced where invalid), markers become spaces, the first goes."""
-    text = b"".join(map(surface.__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    return Decoder(surface).decode(np.array(ids, dtype=np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
 
 
-def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL_PATH) -> DataFrame:
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL_PATH, hashed: bool = False) -> DataFrame:
     """Encode whole texts and decode the ids again: (key, ids, n_pieces, n_bytes, decoded).
 
-    ``decoded`` equals the text but for literal markers, which read as spaces. Null and empty texts have no ids
-    and decode to "". Repeated rows give equal rows; other columns are not read.
+    ``decoded`` equals the text but for literal markers, which read as spaces; with ``hashed`` its SHA-256 in
+    lowercase hex, decoded_sha256, takes its place. Null and empty texts have no ids and decode to "". Repeated rows
+    give equal rows; other columns are not read.
     """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value
-        encoder = Encoder(vocabulary)
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary.surface)
         is_byte = np.zeros(len(vocabulary.surface), dtype=bool)
         is_byte[vocabulary.byte_ids] = True
         for batch in batches:
-            texts = batch.column(1)
+            chars = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
             start = 0
-            while start < len(texts):
-                packed, decoded, n_bytes, stop, chars = [], [], [], start, 0
-                while stop < len(texts) and chars < BATCH_CHARS:
-                    value = texts[stop].as_py()
-                    packed.append(encoder.encode(value))
-                    ids = np.frombuffer(packed[-1], dtype=np.int32)
-                    n_bytes.append(int(is_byte[ids].sum()))
-                    decoded.append(decode_ids(ids.tolist(), vocabulary.surface))
-                    chars += len(value or "") + 64
-                    stop += 1
-                sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
+            while start < batch.num_rows:
+                before = chars[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(chars, before + BATCH_CHARS, side="right")))
+                ids, sizes = encoder.encode_column(batch.column(1).slice(start, stop - start))
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                decoded = decoder.decode(ids, sizes)
+                if hashed:
+                    back = pa.array([hashlib.sha256(d).hexdigest() for d in decoded], type=pa.string())
+                else:
+                    back = pa.array([d.decode() for d in decoded], type=pa.string())
+                n_bytes = np.diff(np.concatenate([[0], np.cumsum(is_byte[ids])])[offsets])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, stop - start),
-                        pa.ListArray.from_arrays(pa.array(offsets), flat),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                         pa.array(sizes),
                         pa.array(n_bytes, type=pa.int64()),
-                        pa.array(decoded, type=pa.string()),
+                        back,
                     ],
-                    names=[key, "ids", "n_pieces", "n_bytes", "decoded"],
+                    names=[key, "ids", "n_pieces", "n_bytes", "decoded_sha256" if hashed else "decoded"],
                 )
                 start = stop
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, ids array<int>, n_pieces long, n_bytes long, decoded string"
-    )
+    last = "decoded_sha256" if hashed else "decoded"
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, n_pieces long, n_bytes long, {last} string")

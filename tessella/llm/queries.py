@@ -23,8 +23,7 @@ URL_RULES = [
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and whether decoding gives the text back (markers in it read as spaces)."""
     docs = read(spark, sf_dir, "documents")
-    coded = pieces.round_trip(docs)
-    return coded.select("doc_id", "ids", "n_pieces", "n_bytes", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return pieces.round_trip(docs, hashed=True)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

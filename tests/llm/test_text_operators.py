@@ -194,3 +194,26 @@ def test_layout_of_odd_pages(spark):
     assert got[1]["text"] == "" and got[2]["n_lines"] == 0 and got[4]["text"] == "deep" and got[5]["text"] == "a <"
     assert got[6]["text"].count("x") == 20000
     assert layout.extract(pages.limit(0)).count() == 0
+
+
+def test_many_units_at_once_equal_one_by_one(vocabulary):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("aeinst,.\n\x00é漢🙂▁Z"))
+    units = ["▁" + "".join(rng.choice(letters, size=n)) for n in rng.integers(0, 40, 3000)] + ["▁" + "abc" * 40, "▁", "▁▁▁x"]
+    packed = vocabulary.lattice.encode([u.encode() for u in units])
+    assert packed == [np.array(pieces.viterbi(u.encode(), vocabulary), dtype=np.int32).tobytes() for u in units]
+    assert vocabulary.lattice.encode([]) == []
+
+
+def test_hashed_texts_and_full_memory(spark, vocabulary, monkeypatch):
+    rows = [(i, t) for i, t in enumerate([None, "", " ", "a  b", "one two two", " lead", "x▁y", "é" * 200, "two one"])]
+    plain = {r["doc_id"]: r for r in pieces.round_trip(docs_of(spark, rows)).collect()}
+    hashed = {r["doc_id"]: r for r in pieces.round_trip(docs_of(spark, rows), hashed=True).collect()}
+    for i, t in rows:
+        assert plain[i]["decoded"] == (t or "").replace(pieces.MARK, " ") and plain[i]["ids"] == hashed[i]["ids"]
+        assert hashed[i]["decoded_sha256"] == hashlib.sha256(plain[i]["decoded"].encode()).hexdigest()
+    monkeypatch.setattr(pieces, "REMEMBERED", 2)
+    small = pieces.Encoder(vocabulary)
+    for _ in range(3):
+        for i, t in rows:
+            assert small.encode(t) == np.array(plain[i]["ids"], dtype=np.int32).tobytes()
