@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,27 +24,53 @@ def word_count(text: str | Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; one is set only where none is, as in tests."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset, a folder of this machine's is set, which only a session on one machine may use.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessella-"))
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a copy in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Scratch:
+    """Parquet tables in a folder of their own under the shared folder, which goes when the session's JVM ends.
 
+    A table that is read back has no lineage and the size statistics of its files, so executors may be lost, and
+    plans over many rounds stay short and well sized.
+    """
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table of its own in the shared folder, read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name.replace(' ', '_')}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self._files, path = self._at(self.root)
+        self._files.deleteOnExit(path)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of ``df``, written and read again; the shuffles that made them are given up."""
+        conf, path = self.spark.conf, f"{self.root}/{name}"
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files and broadcasts of finished rounds, which it does once the driver's garbage is
-    collected; an iterative job on a large driver heap would keep them all otherwise."""
-    spark.sparkContext._jvm.System.gc()
+    def drop(self, *names: str) -> None:
+        """Delete these tables, or all: only those that no frame in use still reads."""
+        for name in names or ("",):
+            self._files.delete(self._at(f"{self.root}/{name}".rstrip("/"))[1], True)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows as a Parquet table of its own in the shared folder, read again."""
+    return Scratch(df.sparkSession).keep(df, name.replace(" ", "_"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import durable, word_count
+from tessella.llm.common import written, word_count
 
 #: Bits of the hash that each level resolves; three levels resolve 36 bits.
 LEVEL_BITS = 12
@@ -75,7 +75,7 @@ def _copies() -> Column:
 
 def repeat(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """The mix itself: each document as often as ``mix`` takes it, with all its columns; those not taken go."""
-    sized = durable(_sized(docs, seed, "doc_id", "source"))
+    sized = written(_sized(docs, seed, "doc_id", "source"))
     cuts = thresholds(sized, weights, share, cap).select("key", "copies", "cut")
     rows = _sized(docs.select("doc_id", "text", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("row")), seed, "row")
     taken = rows.join(cuts, "key").withColumn("times", _copies().cast("int")).where("times > 0")
@@ -93,7 +93,7 @@ def mix(
     no rows. The hash is of doc_id and text, so rows that agree in both are taken or left together; this holds
     too for documents that agree in the first 36 hash bits. Other columns of ``docs`` are not read.
     """
-    sized = durable(_sized(docs, seed, "doc_id", "source"))
+    sized = written(_sized(docs, seed, "doc_id", "source"))
     cuts = thresholds(sized, weights, share, cap)
     taken = (F.col("size") * _copies()).alias("taken")
     return sized.join(cuts, "key").select("doc_id", "source", "size", "source_size", "target", taken)
@@ -104,13 +104,13 @@ def thresholds(sized: DataFrame, weights: Sequence[float], share: float, cap: fl
     first = sized.groupBy("key", _bits(0).alias("bucket")).agg(
         F.first("source").alias("source"), F.sum("size").alias("words")
     )
-    histogram = durable(first)
+    histogram = written(first)
     totals = histogram.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     targets = source_targets(totals, weights, share, cap).withColumn(
         "key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
     )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    plan = durable(
+    plan = written(
         targets.withColumn("copies", whole.cast("long"))
         .withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
         .withColumn("prefix", F.lit(0).cast("long"))
@@ -132,7 +132,7 @@ def thresholds(sized: DataFrame, weights: Sequence[float], share: float, cap: fl
             .agg(F.min(F.struct("bucket", "words", "up_to")).alias("at"))
         )
         # A source whose budget no bucket passes (it has no words) keeps prefix 0 and takes nothing.
-        plan = durable(
+        plan = written(
             plan.join(crossing, "key", "left").select(
                 "key",
                 "source_size",

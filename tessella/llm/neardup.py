@@ -1,6 +1,6 @@
 """Near-duplicate groups by HyperMinHash sketches, banding and exact checks.
 
-A document's words (A-Z lower-cased) give its set of 3-word shingles. Texts of one set are one class. Each
+A document's words (A-Z lower-cased) give its set of word shingles. Texts of one set are one class. Each
 class has a sketch of 128 compressed registers: the least hash of each bucket as its count of leading zeros and
 ten mantissa bits; empty buckets borrow from others by a fixed probe. Bands of four registers bring classes
 together; a band shared by few classes gives all their pairs, one shared by many pairs each class with the
@@ -9,8 +9,8 @@ the full shingle sets decide on the rest. Then every pair that a band of many cl
 is compared, in blocks of bounded size: sketches first, full sets of those that are near any. Only pairs inside
 the largest group that a band holds are left out, as their group is proven.
 
-Loss: a pair at the threshold (0.85) shares none of 32 bands with probability 6e-11, and lies six standard
-errors below its estimate with 1e-9. Nothing is lost beyond that, in bands of any size; a band of m classes,
+Loss: a pair at the threshold shares none of 32 bands with probability 6e-11 (0.85) or 5e-8 (0.8), and lies six
+standard errors below its estimate with 1e-9. Nothing is lost beyond that, in bands of any size; a band of m classes,
 r of them outside its largest group, costs about r * (m - r / 2) comparisons of sketches.
 """
 
@@ -25,17 +25,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import durable, release
+from tessella.llm.common import Scratch, written
 from tessella.llm.components import components
 from tessella.session import ship
 
+#: Words of a shingle, and percentage of the union that the intersection of linked sets has at least.
 SHINGLE = 3
+THRESHOLD = 85
 #: Registers of a sketch (a power of two), mantissa bits of each, and registers of a band.
 REGISTERS = 128
 MANTISSA = 10
 BAND = 4
-#: Percentage of the union that the intersection has at least.
-THRESHOLD = 85
 #: Bands of at most this many classes give all their pairs.
 SMALL = 8
 #: Classes, and their shingles, that one side of a block of comparisons has on average at most.
@@ -61,17 +61,17 @@ _PROBE = (_mix(np.arange(1, _PROBES * REGISTERS + 1, dtype=np.uint64) * _GOLD) %
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - (REGISTERS.bit_length() - 1))
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text; of the whole sequence if it has fewer words."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
     h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-    if len(h) < SHINGLE:
-        h = np.concatenate([h, np.full(SHINGLE - len(h), len(h), dtype=np.uint64)])
-    out = h[: len(h) - SHINGLE + 1].copy()
-    for k in range(1, SHINGLE):
-        out = _mix(out + _GOLD) ^ h[k : len(h) - SHINGLE + 1 + k]
+    if len(h) < width:
+        h = np.concatenate([h, np.full(width - len(h), len(h), dtype=np.uint64)])
+    out = h[: len(h) - width + 1].copy()
+    for k in range(1, width):
+        out = _mix(out + _GOLD) ^ h[k : len(h) - width + 1 + k]
     return np.unique(_mix(out + _GOLD))
 
 
@@ -99,14 +99,14 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return value.astype(np.int16)
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """(key, n_shingles, digest, registers) of every text; digest and registers are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, values = [], [], []
             for value in batch.column(1):
-                found = shingles(value.as_py())
+                found = shingles(value.as_py(), width)
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 values.append(registers(found) if len(found) else None)
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, digest binary, registers array<short>")
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
+def shingle_sets(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(cid, shingles) from (cid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
             while start < rows:
                 sets, size, stop = [], 0, start
                 while stop < rows and size < 2_000_000:
-                    sets.append(shingles(batch.column(1)[stop].as_py()).view(np.int64))
+                    sets.append(shingles(batch.column(1)[stop].as_py(), width).view(np.int64))
                     size += len(sets[-1]) + 8
                     stop += 1
                 yield pa.RecordBatch.from_arrays(
@@ -154,24 +154,24 @@ def estimate(a: Column, b: Column, n: Column, m: Column) -> Column:
     return (equal - chance) / (1 - chance)
 
 
-def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _promising(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose sizes allow a link and whose estimate is not far below the threshold."""
     side = lambda s: classes.select(F.col("cid").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("registers").alias(f"r{s}"))
-    share = THRESHOLD / 100
+    share = threshold / 100
     held = pairs.join(side("a"), "a").join(side("b"), "b")
-    sized = held.where((100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")))
+    sized = held.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     # Borrowed registers repeat, so a set of few shingles counts as so many registers only.
     error = F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(REGISTERS), "na", "nb"))
     close = estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")) >= share - MARGIN * error
     return sized.where(close).select("a", "b", "na", "nb")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose full sets meet the threshold."""
     side = lambda s: sets.select(F.col("cid").alias(s), F.col("shingles").alias(f"s{s}"))
     held = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return held.where(100 * common >= THRESHOLD * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return held.where(100 * common >= threshold * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def _ordered(one: str, other: str) -> list[Column]:
@@ -228,9 +228,9 @@ def _outside(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group_of, np.flatnonzero(group_of != counts.argmax())
 
 
-def _near_any(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+def _near_any(blocks: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Rows (block, cid, label) whose size and sketch are not far from those of some member of another group in the block."""
-    share = THRESHOLD / 100
+    share = threshold / 100
 
     def run(table: pa.Table) -> pa.Table:
         sketch = table.column("registers").combine_chunks().flatten().to_numpy().reshape(-1, REGISTERS)
@@ -241,7 +241,7 @@ def _near_any(blocks: DataFrame, classes: DataFrame) -> DataFrame:
             # Accidental agreement only raises the share of equal registers, so none is dropped for it.
             equal = (sketch == sketch[i]).sum(axis=1) / REGISTERS
             error = np.sqrt(share * (1 - share) / np.minimum(REGISTERS, np.minimum(size, size[i])))
-            sized = 100 * np.minimum(size, size[i]) >= THRESHOLD * np.maximum(size, size[i])
+            sized = 100 * np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])
             found = sized & (group_of != group_of[i]) & (equal >= share - MARGIN * error)
             near |= found
             near[i] |= found.any()
@@ -251,7 +251,7 @@ def _near_any(blocks: DataFrame, classes: DataFrame) -> DataFrame:
     return held.groupBy("block").applyInArrow(run, "block long, cid long, label long")
 
 
-def _bridges(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+def _bridges(blocks: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) whose full sets meet the threshold, enough to join all groups that are linked inside a block."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -267,7 +267,7 @@ def _bridges(blocks: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = [], []
         for i in outside:
             common = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in shingle[start[i] : start[i + 1]]]), minlength=len(size))
-            linked = np.flatnonzero((100 * common >= THRESHOLD * (size[i] + size - common)) & (group_of != group_of[i]))
+            linked = np.flatnonzero((100 * common >= threshold * (size[i] + size - common)) & (group_of != group_of[i]))
             met, at = np.unique(group_of[linked], return_index=True)
             a += [cid[i]] * len(met)
             b += cid[linked[at]].tolist()
@@ -279,18 +279,22 @@ def _bridges(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select(*_ordered("a", "b")).distinct()
 
 
-def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """Near-duplicate groups: (key, n_shingles, component_id, kept, class_id) for every row of ``docs``.
 
+    Texts are linked whose sets of shingles of ``width`` words meet in ``threshold`` percent of their union or more.
     component_id is the smallest key reachable over links, kept is key = component_id, class_id the smallest key of
     the rows with the same shingle set. A null or empty text, or one without words, has n_shingles 0 and is a group
     of its own. Rows that repeat a key are kept or not alike. A null key counts as larger than all others; a
     group of null keys only has a null component_id and is kept. Other columns are not read.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    sketched = sketches(docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash")).alias("id"), F.col(text).alias("text")), "id", "text")
-    rows = durable(sketched.select("id.key", "id.text_hash", "n_shingles", "digest", "registers"))
+    named_rows = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash")).alias("id"), F.col(text).alias("text"))
+    sketched = sketches(named_rows, "id", "text", width).select("id.key", "id.text_hash", "n_shingles", "digest", "registers")
+    rows = scratch.keep(sketched, "rows")
     first = (
         rows.where("n_shingles > 0")
         .groupBy("digest")
@@ -301,41 +305,33 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             F.first("registers").alias("registers"),
         )
     )
-    classes = durable(first.select(F.monotonically_increasing_id().alias("cid"), "digest", "class_id", "at", "n_shingles", "registers"))
+    classes = scratch.keep(first.select(F.monotonically_increasing_id().alias("cid"), "digest", "class_id", "at", "n_shingles", "registers"), "classes")
     numbers = F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))
     keys = F.transform(numbers, lambda b: F.xxhash64(b, F.slice("registers", b * BAND + 1, BAND)))
     bands = classes.select("cid", F.explode(keys).alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("together")).where("together > 1")
-    members = durable(bands.join(shared, "band"))
-    popular = members.groupBy("cid").agg(F.sum("together").alias("popular"))
-    members = durable(members.join(popular, "cid"))
+    met = scratch.keep(bands.join(shared, "band"), "met")
+    popular = met.groupBy("cid").agg(F.sum("together").alias("popular"))
+    members = scratch.keep(met.join(popular, "cid"), "members")
 
-    pairs = durable(_promising(_first_pairs(members), classes))
+    pairs = scratch.keep(_promising(_first_pairs(members), classes, threshold), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(members.where(F.col("together") > SMALL).select("cid")).distinct()
     place = classes.select("cid", "at.key", "at.text_hash").join(wanted, "cid")
     place = place.select("cid", F.xxhash64("key", "text_hash").alias("place"))
     # The text of one row of each class; copies of it that sit in other rows with the same key go on the map side.
     texts = source.select(F.xxhash64("key", "text_hash").alias("place"), "text").join(place, "place").groupBy("cid").agg(F.first("text").alias("text"))
-    sets = durable(shingle_sets(texts))
-    release(docs.sparkSession)
-    links = durable(_linked(pairs, sets))
+    sets = scratch.keep(shingle_sets(texts, width), "sets")
+    links = scratch.keep(_linked(pairs, sets, threshold), "links")
     labels = components(links)
-    release(docs.sparkSession)
-    near = durable(_near_any(_blocks(members, labels, classes), classes))
-    bridges = durable(_bridges(near, sets))
-    if bridges.limit(1).count():
+    near = scratch.keep(_near_any(_blocks(members, labels, classes), classes, threshold), "near")
+    bridges = scratch.keep(_bridges(near, sets, threshold), "bridges")
+    if not bridges.isEmpty():
         labels = components(links.union(bridges))
-    release(docs.sparkSession)
-    lowest = (
-        classes.select("cid", "class_id")
-        .join(labels.withColumnRenamed("node", "cid"), "cid")
-        .groupBy("label")
-        .agg(F.min("class_id").alias("component_id"))
-    )
-    named = classes.select("cid", "digest", "class_id").join(
-        labels.withColumnRenamed("node", "cid").join(lowest, "label").select("cid", "component_id"), "cid", "left"
-    )
-    named = named.select("digest", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    held = classes.select("cid", "digest", "class_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    lowest = held.where("label is not null").groupBy("label").agg(F.min("class_id").alias("component_id"))
+    named = held.join(lowest, "label", "left").select("digest", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    named = scratch.keep(named, "named")
+    scratch.drop("classes", "met", "members", "pairs", "sets", "links", "near", "bridges")
     out = rows.select("key", "n_shingles", "digest").join(named, "digest", "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("key")).otherwise(F.col("component_id"))
@@ -348,20 +344,21 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each near-duplicate group, with all its columns: that of the smallest key.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """One document of each near-duplicate group, with all its columns: that of the smallest key, null the largest.
 
-    Where keys repeat or are null, a row's key is taken together with its text, and of equal rows one stays.
+    Where keys repeat or are null anywhere, a row's key is taken together with its text; of equal rows one stays.
+    Empty texts stay, one for each key. Columns of ``docs`` may have any names, and an empty table gives none.
     """
-    unclear = docs.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).limit(1).count()
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    columns = [F.col("row")[c].alias(c) for c in docs.columns]
+    unclear = not docs.groupBy(F.col(key).alias("own")).agg(F.count("*").alias("n")).where("n > 1 OR own IS NULL").isEmpty()
     if not unclear:
         # The keys are written first, so the job that moves the texts has a short plan.
-        kept = durable(group(docs, key, text).where("kept").select(F.col(key).alias("kept_key")))
-        release(docs.sparkSession)
-        return docs.join(kept, F.col(key) == F.col("kept_key"), "left_semi")
-    own = F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text"))
-    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), own.alias("own"), F.col(text).alias("said"))
-    kept = durable(group(keyed, "own", "said").where("kept").select(F.col("own").alias("kept_key")).distinct())
-    release(docs.sparkSession)
-    one = keyed.join(kept, F.col("own") == F.col("kept_key"), "left_semi").groupBy("own").agg(F.first("row").alias("row"))
-    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+        kept = written(group(docs, key, text, width, threshold).where("kept").select(F.col(key).alias("own")), "kept")
+        return docs.select(whole, F.col(key).alias("own")).join(kept, "own", "left_semi").select(*columns)
+    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text"))
+    keyed = docs.select(whole, own.alias("own"), F.col(text).alias("said"))
+    kept = written(group(keyed, "own", "said", width, threshold).where("kept").select("own").distinct(), "kept")
+    one = keyed.join(kept, "own", "left_semi").groupBy("own").agg(F.first("row").alias("row"))
+    return one.select(*columns)

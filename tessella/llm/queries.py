@@ -28,7 +28,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
-    return neardup.group(read(spark, sf_dir, "documents"))
+    return neardup.group(read(spark, sf_dir, "documents"), width=3, threshold=85)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

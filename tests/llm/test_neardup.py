@@ -120,3 +120,67 @@ def test_registers_estimate_jaccard():
             real = len(np.intersect1d(*own)) / len(np.union1d(*own))
             errors.append(np.mean(neardup.registers(own[0]) == neardup.registers(own[1])) - real)
     assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.2
+
+
+def test_components_of_shuffled_paths_and_real_sizes(spark):
+    rng = random.Random(7)
+    ids = list(range(500))
+    rng.shuffle(ids)
+    path = list(zip(ids, ids[1:]))
+    ring = [(1000 + i, 1000 + (i * 7 + 7) % 210) for i in range(0, 210)]
+    star = [(5000, 5001 + i) for i in range(300)]
+    found = components(spark.createDataFrame(path + ring + star + [(9000, 9000)], "a long, b long"))
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in path + ring + star:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    assert {r["node"]: r["label"] for r in found.collect()} == {n: root(n) for n in up}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**8
+
+
+def five_word_groups(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(zip(*(w[k:] for k in range(5)))) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        common = len(sets[a] & sets[b])
+        if common and 100 * common >= 80 * len(sets[a] | sets[b]):
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in sets}
+
+
+def test_stage_takes_five_words_and_eighty_percent(spark, sf_dir):
+    import corpus_pipeline
+
+    words = [f"u{k}" for k in range(100)]
+    rows = edited_copies(4, 5, 12, 5)
+    # Alike by 0.845 in shingles of three words and 0.842 in those of five: copies at 0.8 only.
+    rows += [(500, " ".join(words)), (501, " ".join(words + [f"v{k}" for k in range(18)])), (502, "a b c d"), (503, "a b c d"), (504, None), (505, "")]
+    docs = docs_of(spark, rows).selectExpr("*", "1 AS own", "2 AS row", "3 AS kept_key")
+    stage = dict(corpus_pipeline.STAGES)["near-duplicate removal"]
+    kept = stage(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    expected = five_word_groups(rows)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, c in expected.items() if i == c}
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    groups = five_word_groups([(r["doc_id"], r["text"]) for r in documents.collect()])
+    assert {r["doc_id"] for r in stage(spark, documents, sf_dir).collect()} == {i for i, c in groups.items() if i == c}
+
+
+def test_repeated_keys_elsewhere_do_not_change_who_stays(spark):
+    rows = [(9, "x y z w"), (10, "x y z w"), (3, "other words are here"), (3, "third words are there now")]
+    kept = neardup.keep_one(docs_of(spark, rows))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, rows[2][1]), (3, rows[3][1]), (9, "x y z w")]
