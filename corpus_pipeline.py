@@ -17,9 +17,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.keep_identified(docs)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return neardup.keep_one(docs)
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = 3, threshold: int = 85) -> DataFrame:
+    """One document of each group of near duplicates, by shingles of ``width`` words and ``threshold`` percent.
+
+    The one of the smallest doc_id stays, null the largest; where ids repeat, the text decides and of equal rows one
+    stays. Null, empty and wordless texts are no duplicates of anything. An empty table gives none.
+    """
+    return neardup.keep_one(docs, width=width, threshold=threshold)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage: shingles of five words, and a similarity of 0.8 or more."""
+    return drop_near_duplicates(spark, docs, sf_dir, 5, 80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +48,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("language identification", identify_language),
-    ("near-duplicate removal", drop_near_duplicates),
+    ("near-duplicate removal", drop_near_copies),
     ("secret masking", mask_secrets),
     ("source mixing", mix_sources),
     ("piece encoding", encode_pieces),
