@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tessella.session import ship
 
@@ -43,7 +43,16 @@ BATCH = 48
 RATE = 0.3
 DECAY = 1e-5
 
-_PREDICTED = (StructField("lang_pred", StringType()), StructField("score", DoubleType()))
+_PREDICTED = (StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("certainty", DoubleType()))
+_RUN = StructType(
+    [
+        StructField("start", IntegerType()),
+        StructField("end", IntegerType()),
+        StructField("lang", StringType()),
+        StructField("words", IntegerType()),
+        StructField("score", DoubleType()),
+    ]
+)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -189,24 +198,42 @@ class Scorer(dict):
         self.rows += 1
         return self[word]
 
-    def marginals(self, texts: list[list[str]]) -> np.ndarray:
-        """Mean marginals by language of each text (rows sum to 1; 0 without letters)."""
+    def by_word(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of all words with a letter, text after text, and how many each text has."""
         if self.rows > REMEMBERED:
             self.clear()
             self.rows = 0
         ids = [np.array([i for i in map(self.__getitem__, words) if i >= 0], dtype=np.int64) for words in texts]
-        lengths = np.array([len(i) for i in ids])
-        out = np.zeros((len(texts), self.size))
+        lengths = np.array([len(i) for i in ids], dtype=np.int64)
         full = np.flatnonzero(lengths)
         if not len(full) or not self.size:
-            return out
-        sums = block_marginals([self.table[ids[k]] for k in full], np.exp(self.model.transitions))
-        out[full] = sums / lengths[full, None]
-        return out
+            return np.zeros((0, self.size)), np.zeros(len(texts), dtype=np.int64)
+        return word_marginals([self.table[ids[k]] for k in full], np.exp(self.model.transitions)), lengths
+
+    def summaries(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean marginals by language of each text, and the mean of each word's highest one; 0 without letters."""
+        words, lengths = self.by_word(texts)
+        means, certain = np.zeros((len(texts), self.size)), np.zeros(len(texts))
+        full = np.flatnonzero(lengths)
+        if len(full):
+            at, count = (np.cumsum(lengths) - lengths)[full], lengths[full]
+            means[full] = np.add.reduceat(words, at, axis=0) / count[:, None]
+            certain[full] = np.add.reduceat(words.max(axis=1), at) / count
+        return means, certain
+
+    def marginals(self, texts: list[list[str]]) -> np.ndarray:
+        """Mean marginals by language of each text (rows sum to 1; 0 without letters)."""
+        return self.summaries(texts)[0]
 
 
 def block_marginals(sequences: list[np.ndarray], t: np.ndarray) -> np.ndarray:
-    """Sum of the words' marginals of each sequence of emission rows, by forward-backward over blocks."""
+    """Sum of the words' marginals of each sequence of emission rows."""
+    lengths = np.array([len(s) for s in sequences])
+    return np.add.reduceat(word_marginals(sequences, t), np.cumsum(lengths) - lengths, axis=0)
+
+
+def word_marginals(sequences: list[np.ndarray], t: np.ndarray) -> np.ndarray:
+    """Marginals of all words of non-empty sequences of emission rows, by forward-backward over blocks."""
     size = t.shape[0]
     lengths = np.array([len(s) for s in sequences])
     blocks = -(-lengths // BLOCK)
@@ -252,15 +279,14 @@ def block_marginals(sequences: list[np.ndarray], t: np.ndarray) -> np.ndarray:
         a[:k] = (a[:k] @ t) * e[:k, i]
         a[:k] /= a[:k].sum(axis=1, keepdims=True)
         alpha[:k, i] = a[:k]
-    total = np.zeros((len(owner), size))
     beta = leaving
     for i in range(BLOCK - 1, -1, -1):
         k = live[i]
         m = alpha[:k, i] * beta[:k]
-        total[:k] += m / m.sum(axis=1, keepdims=True)
+        alpha[:k, i] = m / m.sum(axis=1, keepdims=True)
         beta[:k] = (e[:k, i] * beta[:k]) @ t.T
         beta[:k] /= beta[:k].sum(axis=1, keepdims=True)
-    return np.add.reduceat(total[at], first, axis=0)
+    return alpha[at[np.repeat(first, lengths) + place // BLOCK], place % BLOCK]
 
 
 def training_sample(docs: DataFrame, learn: Column, texts: int = SAMPLE_TEXTS) -> DataFrame:
@@ -297,7 +323,12 @@ def fit(docs: DataFrame, learn: Column) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) of every whole text; ``und`` and 0 where it is null, has no letter, or nothing was learned."""
+    """(key, lang_pred, score, certainty) of every whole text.
+
+    score is the share of lang_pred among the words' marginals; certainty the mean of each word's highest marginal,
+    which is high for a text of several languages whose words are told apart. ``und``, 0 and 0 where the text is
+    null, has no letter, or nothing was learned.
+    """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -311,7 +342,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     texts.append(words_of(batch.column(1)[stop].as_py()))
                     size += len(texts[-1]) + 1
                     stop += 1
-                means = scorer.marginals(texts)
+                means, certain = scorer.summaries(texts)
                 names = [UNDETERMINED] * len(texts)
                 scores = np.zeros(len(texts))
                 if scorer.size:
@@ -319,14 +350,58 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     scores = means[np.arange(len(texts)), best]
                     names = [scorer.model.languages[b] if s > 0 else UNDETERMINED for b, s in zip(best, scores, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start), pa.array(names, pa.string()), pa.array(np.minimum(scores, 1.0))],
-                    names=[key, "lang_pred", "score"],
+                    [
+                        batch.column(0).slice(start, stop - start),
+                        pa.array(names, pa.string()),
+                        pa.array(np.minimum(scores, 1.0)),
+                        pa.array(np.minimum(certain, 1.0)),
+                    ],
+                    names=[key, "lang_pred", "score", "certainty"],
                 )
                 start = stop
 
     return docs.select(key, text).mapInArrow(run, StructType([docs.schema[key], *_PREDICTED]))
 
 
+def label_words(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, runs) of every whole text: runs of neighbouring words of one language, in order.
+
+    A run has start and end (code points of the text, end exclusive), lang, the number of its words, and score, the
+    mean of its words' marginals of that language. A word's language is the one of its highest marginal, which
+    forward-backward takes over the whole text. No runs where the text is null, has no letter, or nothing was learned.
+    """
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("score", pa.float64())]))
+
+    def runs_of(text: str | None, scorer: Scorer) -> list[dict]:
+        words = [m for m in _WORD.finditer(text or "") if any(c.isalpha() for c in m[0].lower())]
+        marginals, _ = scorer.by_word([[m[0].lower() for m in words]])
+        if not len(marginals):
+            return []
+        best = marginals.argmax(axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(best)) + 1, [len(best)]]).tolist()
+        return [
+            {
+                "start": words[a].start(),
+                "end": words[b - 1].end(),
+                "lang": scorer.model.languages[best[a]],
+                "words": b - a,
+                "score": min(1.0, float(marginals[a:b, best[a]].mean())),
+            }
+            for a, b in zip(cuts, cuts[1:])
+        ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for batch in batches:
+            found = pa.array([runs_of(t.as_py(), scorer) for t in batch.column(1)], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[key, "runs"])
+
+    field = StructField("runs", ArrayType(_RUN))
+    return docs.select(key, text).mapInArrow(run, StructType([docs.schema[key], field]))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Language of every document of (doc_id, text, lang), learned from the rows that are not held out.
 
@@ -342,11 +417,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents whose language is found with a score of at least ``least``; lang becomes the found one.
+    """Documents whose words' languages are found with a certainty of at least ``least``; lang becomes the leading one.
 
-    Texts without letters go. The model learns from the labelled rows of ``docs`` themselves; without any, all rows go.
+    A text of several languages stays when its words are told apart, whatever their shares. Texts without letters go. The model learns from the labelled rows of ``docs`` themselves; without any, all rows go.
     """
     model = fit(docs, F.lit(True))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text"))
-    found = predict(rows, model, "row").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    found = predict(rows, model, "row").where((F.col("lang_pred") != UNDETERMINED) & (F.col("certainty") >= least))
     return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])

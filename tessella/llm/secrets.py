@@ -109,15 +109,31 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     return blobs.select("blob", F.explode(scans).alias("scan")).where("scan is not null").select("blob", "scan.rule", "scan.spans")
 
 
+def update_ledger(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger in ``folder`` lacks, append it there, and return the whole ledger.
+
+    The folder is created where it is missing. Two runs at once may both append a pair; readers take it once.
+    """
+    spark = versions.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    schema = f"blob string, rule string, spans {_SPANS}"
+    seen = spark.read.schema(schema).parquet(folder) if there else None
+    scan_unseen(versions, seen, rules).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def _hits(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) of the blobs with findings; a pair that the ledger repeats counts once."""
+    held = ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
+    return held.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))
+
+
 def findings(versions: DataFrame, ledger: DataFrame, path: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Spans of every path, from the ledger: (path, blob, spans), ordered by start, then kind as listed."""
-    hits = (
-        ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
-        .groupBy("blob")
-        .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    )
     held = versions.select(path, content_address("text").alias("blob"))
-    return held.join(hits, "blob", "left").select(path, "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    found = held.join(_hits(ledger, rules), "blob", "left")
+    return found.select(path, "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -164,16 +180,14 @@ def redacted_size(text: Column, spans: Column) -> Column:
 def redact_versions(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Documents with every found span masked in their text, and n_chars, where there is one, of the new text.
 
-    Only blobs with findings are joined to, which Spark broadcasts where they are few; all columns stay.
+    Only blobs with findings are joined to, which Spark broadcasts where they are few; all columns stay, whatever
+    their names. A null text stays null; repeated rows are masked alike; an empty table gives none.
     """
-    hits = (
-        ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
-        .groupBy("blob")
-        .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("secret_spans"))
-        .withColumnRenamed("blob", "secret_blob")
-    )
-    joined = docs.join(hits, content_address("text") == F.col("secret_blob"), "left")
-    text = F.when(F.col("secret_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("secret_spans")))
-    size = F.when(F.col("secret_spans").isNull(), F.col("n_chars")).otherwise(redacted_size(F.col("text"), F.col("secret_spans")).cast("long")) if "n_chars" in docs.columns else None
-    new = {"text": text, "n_chars": size}
-    return joined.select(*[new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns])
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    joined = docs.select(whole, content_address("text").alias("blob")).join(_hits(ledger, rules), "blob", "left")
+    text, clean = F.col("row")["text"], F.col("spans").isNull()
+    new = {"text": F.when(clean, text).otherwise(redact(text, F.col("spans")))}
+    if "n_chars" in docs.columns:
+        kept = F.col("row")["n_chars"]
+        new["n_chars"] = F.when(clean, kept).otherwise(redacted_size(text, F.col("spans")).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

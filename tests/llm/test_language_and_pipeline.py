@@ -111,3 +111,24 @@ def test_pipeline_runs_on_odd_documents(spark, tmp_path):
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
     assert neardup.keep_one(docs).count() < len(rows)
+
+
+def test_runs_of_code_switched_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars > 400").collect()
+    model = langid.train([(r["text"], r["lang"]) for r in docs])
+    by = {lang: [" ".join(langid.words_of(r["text"])[:40]) for r in docs if r["lang"] == lang] for lang in ("en", "de")}
+    texts = [f"{a}. {b}" for a, b in zip(by["en"], by["de"])]
+    rows = list(enumerate(texts)) + [(900, None), (901, ""), (902, "12 !?")]
+    runs = {r["doc_id"]: r["runs"] for r in langid.label_words(docs_of(spark, rows), model).collect()}
+    assert runs[900] == runs[901] == runs[902] == []
+    right = words = 0
+    for i, (a, b) in enumerate(zip(by["en"], by["de"])):
+        assert [r["end"] <= s["start"] for r, s in zip(runs[i], runs[i][1:])] == [True] * (len(runs[i]) - 1)
+        for m in langid._WORD.finditer(texts[i]):
+            run = next(r for r in runs[i] if r["start"] <= m.start() and m.end() <= r["end"])
+            words += 1
+            right += run["lang"] == ("en" if m.start() < len(a) else "de")
+    assert right > 0.95 * words
+    # An even mix keeps its document: its words are certain, although no language leads.
+    found = langid.predict(docs_of(spark, rows[: len(texts)]), model).collect()
+    assert np.mean([r["certainty"] for r in found]) > 0.9 and np.mean([r["score"] for r in found]) < 0.65

@@ -205,3 +205,29 @@ def test_private_key_is_masked_with_its_body(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact_versions(docs, secrets.scan_unseen(docs)).collect()}
     assert got[1] == got[2] == got[4] == got[7] == "before [SECRET] after" and got[3] == "before [SECRET](after)"
     assert got[5] == "before [SECRET] after, no key" and got[6] == "before [SECRET] and [SECRET] after"
+
+
+def test_ledger_table_grows_by_unseen_pairs(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    first = docs_of(spark, [(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, None)])
+    one = secrets.update_ledger(first, folder, secrets.RULES[:2])
+    assert one.count() == 4
+    second = first.union(docs_of(spark, [(4, "hex " + "a1" * 20)]))
+    assert secrets.update_ledger(second, folder, secrets.RULES[:2]).count() == 6
+    ledger = secrets.update_ledger(second, folder, secrets.RULES)
+    assert ledger.count() == 3 * len(secrets.RULES)
+    # Two runs at once may have written a pair twice.
+    got = {r["doc_id"]: secrets.span_text for r in secrets.findings(second, ledger).collect()}
+    spans = {r["doc_id"]: len(r["spans"]) for r in secrets.findings(second, ledger.union(ledger)).collect()}
+    assert set(got) == {1, 2, 3, 4} and spans == {1: 1, 2: 1, 3: 0, 4: 1}
+    assert secrets.update_ledger(second, folder, secrets.RULES).count() == 3 * len(secrets.RULES)
+
+
+def test_masking_keeps_clashing_columns_and_long_texts(spark):
+    long = "word " * 200_000 + "password=hunter2hunter2 end"
+    docs = docs_of(spark, [(1, long), (1, long), (2, None)]).selectExpr("*", "'b' AS blob", "'s' AS spans", "1 AS secret_blob", "2 AS secret_spans", "3 AS row")
+    out = secrets.redact_versions(docs, secrets.scan_unseen(docs))
+    assert out.columns == docs.columns
+    rows = out.orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == [1, 1, 2] and rows[2]["text"] is None
+    assert rows[0]["text"] == "word " * 200_000 + "[SECRET] end" and rows[0]["n_chars"] == len(rows[0]["text"])
