@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import langid, mixing, neardup, pieces, secrets
-from tessella.llm.common import read, written
+from tessella.llm.common import Scratch, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language that is found with a score of 0.5 or more; lang becomes the found one."""
+    """Texts whose words' languages are found with a mean certainty of 0.5 or more; lang becomes the leading one.
+
+    Null and empty texts and those without letters go, and all where no row has a language. Repeated rows fare alike;
+    an empty table gives none.
+    """
     return langid.keep_identified(docs)
 
 
@@ -32,17 +36,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets in its text masked."""
+    """Every document, with the secrets in its text masked; null texts stay null, repeated rows are masked alike."""
     return secrets.redact_versions(docs, secrets.scan_unseen(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is one of its own.
+
+    Texts without words have size 0 and go with the documents of their hash; rows of one doc_id and text go together.
+    """
     return mixing.repeat(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text: doc_id, ids, n_pieces, n_bytes, decoded."""
+    """Piece ids of every text: doc_id, ids, n_pieces, n_bytes, decoded; none for null and empty texts."""
     return pieces.round_trip(docs)
 
 
@@ -59,8 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again but for the last."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents, each written and read again but for the last; read tables are deleted."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        scratch = Scratch(spark)
+        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            before.drop()
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
