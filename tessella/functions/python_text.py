@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -30,70 +31,78 @@ def normalise(texts: pd.Series) -> pd.Series:
     return texts.map(normalised, na_action=None)
 
 
-def split_text(text: str, target: int, level: int = 0) -> list[str]:
-    """Pieces of at most ``target`` characters, cut at the largest unit that fits; blank pieces go."""
-    if len(text) <= target:
-        return [text]
-    if level == len(SEPARATORS):
-        return [text[i : i + target] for i in range(0, len(text), target)]
-    mark = SEPARATORS[level]
-    parts = text.split(mark)
-    if len(parts) == 1:
-        return split_text(text, target, level + 1)
-    pieces: list[str] = []
-    held: list[str] = []
-    size = 0
-    for part in parts:
-        grown = size + len(mark) + len(part) if size else len(part)
-        if grown <= target:
-            # An empty start does not count as held, so its separator goes too.
-            held = [*held, part] if size else [part]
-            size = grown
-            continue
-        if size:
-            pieces.append(mark.join(held))
-        if len(part) > target:
-            pieces.extend(split_text(part, target, level + 1))
-            held, size = [], 0
+@F.pandas_udf(ArrayType(StringType()))
+def normalise_all(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda texts: None if texts is None else [normalised(t) for t in texts])
+
+
+def _packed(text: str, start: int, end: int, mark: str, target: int) -> list[tuple[int, int]]:
+    """Spans of a text cut at ``mark``; the whole text where it has none.
+
+    From each cut the furthest one within ``target`` is looked up in the table of cuts; a unit that is too long is a
+    span by itself. A span never starts with an empty unit.
+    """
+    cuts = [m.start() for m in re.finditer(re.escape(mark), text[start:end])]
+    if not cuts:
+        return [(start, end)]
+    begins = [start, *(start + c + len(mark) for c in cuts)]
+    ends = [*(start + c for c in cuts), end]
+    spans, unit = [], 0
+    while unit < len(begins):
+        last = bisect_right(ends, begins[unit] + target) - 1
+        if begins[unit] < ends[unit]:
+            first, unit = begins[unit], max(unit, last)
+            spans.append((first, ends[unit]))
+        unit += 1
+    return spans
+
+
+def split_text(text: str, target: int) -> list[str]:
+    """Pieces of at most ``target`` characters, cut at the largest unit that fits; blank pieces go.
+
+    Open spans wait on a stack with the separator they are to be tried with, so no text is too deep. A text without
+    any separator is cut by length, and blank pieces of it stay.
+    """
+    found: list[tuple[int, int]] = []
+    open_spans = [(0, len(text), 0)]
+    while open_spans:
+        start, end, level = open_spans.pop()
+        if end - start <= target:
+            found.append((start, end))
+        elif level == len(SEPARATORS):
+            found.extend((at, min(at + target, end)) for at in range(start, end, target))
         else:
-            held, size = [part], len(part)
-    if size:
-        pieces.append(mark.join(held))
-    return [p for p in pieces if p.strip()]
+            inner = _packed(text, start, end, SEPARATORS[level], target)
+            open_spans.extend((a, b, level + 1) for a, b in reversed(inner))
+    pieces = [text[a:b] for a, b in found]
+    whole = len(text) <= target or not any(mark in text for mark in SEPARATORS)
+    return pieces if whole else [p for p in pieces if p.strip()]
 
 
 def merge_small(pieces: list[str], least: int) -> list[str]:
     """Pieces under ``least`` characters join the one before; a small first piece joins the next."""
-    merged: list[str] = []
-    for piece in pieces:
-        if merged and len(piece) < least:
-            merged[-1] += "\n" + piece
-        else:
-            merged.append(piece)
-    if len(merged) > 1 and len(merged[0]) < least:
-        merged[:2] = [merged[0] + "\n" + merged[1]]
-    return merged
+    heads = [i for i, piece in enumerate(pieces) if i == 0 or len(piece) >= least]
+    if len(heads) > 1 and len("\n".join(pieces[: heads[1]])) < least:
+        del heads[1]
+    return ["\n".join(pieces[a:b]) for a, b in zip(heads, [*heads[1:], len(pieces)])]
 
 
 def overlap_tail(before: str, size: int) -> str:
     """The end of a piece that the next one repeats: from a sentence start, else from a word start."""
     tail = before[-size:]
-    sentence = re.search(r"[.!?]\s+", tail)
-    if sentence and sentence.start() < len(tail) - 2:
-        return tail[sentence.start() + 1 :].strip()
-    return tail[tail.find(" ") + 1 :].strip()
+    sentences = (i for i, pair in enumerate(zip(tail, tail[1:])) if pair[0] in ".!?" and pair[1].isspace())
+    stop = next(sentences, len(tail))
+    return tail[stop + 1 if stop < len(tail) - 2 else tail.find(" ") + 1 :].strip()
 
 
 def chunk_page(text: str | None, target: int = 500, overlap: int = 100, least: int = 80) -> list[str]:
     """Chunks of a page: split, join small ones, repeat tails; under 20 characters they go."""
-    if not text or not text.strip():
+    if not (text or "").strip():
         return []
-    pieces = merge_small(split_text(text, target), least)
-    chunks = pieces[:1]
-    for before, piece in zip(pieces, pieces[1:]):
-        tail = overlap_tail(before, overlap) if overlap > 0 else ""
-        chunks.append(f"{tail} {piece}" if tail else piece)
-    return [c for c in chunks if len(c.strip()) >= 20]
+    bodies = merge_small(split_text(text, target), least)
+    tails = [overlap_tail(b, overlap) if overlap > 0 else "" for b in bodies]
+    led = (f"{tail} {body}" if tail else body for tail, body in zip(["", *tails], bodies))
+    return [chunk for chunk in led if len(chunk.strip()) >= 20]
 
 
 def chunker(target: int = 500, overlap: int = 100, least: int = 80):

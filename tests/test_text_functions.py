@@ -100,3 +100,12 @@ def test_chunks_overlap_and_merge():
 )
 def test_stems(word, stem):
     assert P.stem(word) == stem
+
+
+def test_chunks_of_a_page_by_value():
+    assert P.split_text("aa bb. cc dd. ee", 9) == ["aa bb", "cc dd. ee"]
+    assert P.split_text("\n\none\n\n\n\ntwo\n\nthree", 8) == ["one\n\n", "two", "three"]
+    assert P.split_text("xxxxxxxxxx yy", 4) == ["xxxx", "xxxx", "xx", "yy"]
+    assert P.split_text("x" * 10, 4) == ["xxxx", "xxxx", "xx"] and P.split_text("", 4) == [""]
+    page = "First point here. Second point here.\nThird line of the page, which is long."
+    assert P.chunk_page(page, 40, 12, 5) == ["First point here. Second point here.", "point here. Third line of the page, which is long."]
