@@ -152,9 +152,19 @@ def preview(c: Column | str, size: int = 140) -> Column:
     return F.left(F.regexp_replace(c, r"\s+", " "), F.lit(size))
 
 
-def missing_strings(text: Column, required: Column) -> Column:
-    """Required strings that a normalised text lacks (plain substrings)."""
-    return F.filter(required, lambda s: ~F.contains(text, F.lower(s)))
+def check_strings(text: Column, required: Column, forbidden: Column, plain_required: Column | None = None, plain_forbidden: Column | None = None) -> Column:
+    """struct(ok, missing, forbidden, checked): required strings that a text lacks and forbidden ones that it holds.
+
+    Plain substrings, so "5" is in "15". The plain lists are what is looked for, in the form of the text, where that is
+    not the lists' own. Null lists ask for nothing.
+    """
+    every = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    plain = F.coalesce(text, F.lit(""))
+    held = lambda c, i, s: F.contains(plain, s if c is None else F.get(c, i))
+    missing = F.filter(every(required), lambda s, i: ~held(plain_required, i, s))
+    found = F.filter(every(forbidden), lambda s, i: held(plain_forbidden, i, s))
+    ok = (F.size(missing) == 0) & (F.size(found) == 0)
+    return F.struct(ok.alias("ok"), missing.alias("missing"), found.alias("forbidden"), (F.size(every(required)) + F.size(every(forbidden))).cast("long").alias("checked"))
 
 
 def safe_filename(c: Column | str) -> Column:

@@ -147,14 +147,47 @@ def order_status(calls: DataFrame, orders: DataFrame) -> DataFrame:
 
     calls(call_id, order_id, user_id), orders(order_id, owner, status).
     """
-    own = orders.withColumnRenamed("owner", "user_id")
-    found = calls.join(own, ["order_id", "user_id"], "left")
-    return found.select(
-        "call_id",
-        F.col("status").isNotNull().alias("found"),
-        "status",
-        F.when(F.col("status").isNull(), "no such order for this user").alias("reason"),
+    own = orders.withColumnRenamed("owner", "user_id").withColumn("there", F.lit(True))
+    found = calls.join(own, ["order_id", "user_id"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    return found.select("call_id", F.col("there").alias("found"), "status", F.when(~F.col("there"), "no such order for this user").alias("reason"))
+
+
+#: The longest product query.
+LONGEST_QUERY = 100
+
+
+def parameter_problems(tool: Column, arguments: Column) -> Column:
+    """Names of a known tool's parameters that its arguments lack or state wrongly, in order; null for an unknown tool.
+
+    Arguments that are no JSON object are the problem "arguments". Other parameters are ignored.
+    """
+    v = F.try_parse_json(arguments)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+    price = F.try_variant_get(v, "$.maxPriceInRupees", "double")
+    numeric = kind("maxPriceInRupees").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    order = F.coalesce(text("orderId").rlike(ORDER_ID), F.lit(False))
+    query = F.coalesce(F.length(text("query")).between(1, LONGEST_QUERY), F.lit(False))
+    cap = kind("maxPriceInRupees").isNull() | F.coalesce(numeric & (price > 0), F.lit(False))
+    named = lambda *checks: F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks]))
+    problems = (
+        F.when(tool == "get_current_time", F.array().cast("array<string>"))
+        .when(tool.isin("get_order_status", "cancel_order"), named(("orderId", order)))
+        .when(tool == "search_products", named(("query", query), ("maxPriceInRupees", cap)))
     )
+    broken = ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.when(problems.isNotNull() & broken, F.array(F.lit("arguments"))).otherwise(problems)
+
+
+def correlate(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Each tool call with its result: (run_id, call_id, tool, content, state); both sides have run_id and call_id.
+
+    A call without a result is ``pending``, a result without a call ``orphan``; the pair decides, so a call_id may
+    come again in another run.
+    """
+    both = calls.withColumn("asked", F.lit(True)).join(results.withColumn("answered", F.lit(True)), ["run_id", "call_id"], "full")
+    state = F.when(F.col("asked").isNull(), "orphan").when(F.col("answered").isNull(), "pending").otherwise("done")
+    return both.select("run_id", "call_id", "tool", "content", state.alias("state"))
 
 
 def product_search(products: DataFrame, query: str, most: float | None = None, minor: int = 1) -> DataFrame:

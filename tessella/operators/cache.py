@@ -24,18 +24,21 @@ def live(entries: DataFrame, now: Column, ttl_seconds: int = TTL_SECONDS) -> Dat
 
 def newest(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """At most ``capacity`` entries of each user, the newest; the victims are the oldest, not random ones."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("entry_id"))
+    order = Window.partitionBy(namespace()).orderBy(F.desc("created_at"), F.desc("entry_id"))
     return entries.withColumn("age_rank", F.row_number().over(order)).where(F.col("age_rank") <= capacity).drop("age_rank")
 
 
 def lookup(requests: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Outcome of each request against its user's entries.
 
-    requests(request_id, user_id, q, ids), entries(entry_id, user_id, v, entry_ids). An entry at or above the threshold
+    requests(request_id, user_id, q, ids), entries(entry_id, user_id, v, entry_ids). A null user is the tenant of
+    ``namespace``. An entry at or above the threshold
     is a hit if its identifiers equal the request's, else it is blocked. Returns request_id, hit, reason, entry_id,
     score, blocked; the guard is the reason only where there is no clean hit. Ties go to the lowest entry_id.
     """
-    pairs = requests.join(entries, "user_id", "left")
+    tenant = namespace().alias("tenant")
+    asked = requests.select(tenant, "request_id", "q", "ids")
+    pairs = asked.join(entries.select(tenant, "entry_id", "v", "entry_ids"), "tenant", "left")
     score = F.round(V.dot("q", "v"), 9)
     scored = pairs.select("request_id", "entry_id", score.alias("score"), F.col("ids").eqNullSafe(F.col("entry_ids")).alias("same"))
     near = F.col("score") >= threshold
@@ -63,6 +66,39 @@ def lookup(requests: DataFrame, entries: DataFrame, threshold: float = THRESHOLD
     )
 
 
+def request(requests: DataFrame, entries: DataFrame, now: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """``lookup`` among the entries that are live at ``now``, the newest of each tenant up to the capacity.
+
+    At most CAPACITY entries a tenant meet its requests, so the pairs grow with the requests only.
+    """
+    return lookup(requests, newest(live(entries, now)), threshold)
+
+
+def cacheable(tools_used: Column) -> Column:
+    """Only answers that used no tool may be stored."""
+    return F.coalesce(F.size(tools_used), F.lit(0)) <= 0
+
+
+def store(entries: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """The cache after storing ``answers``: live entries and the answers that may be cached, within each tenant's capacity.
+
+    Both have entry_id, user_id, created_at, and what else an entry holds; answers have tools_used besides.
+    """
+    fresh = answers.where(cacheable(F.col("tools_used"))).drop("tools_used")
+    return newest(live(entries, now).unionByName(fresh))
+
+
+def clear(entries: DataFrame, user: str | None) -> tuple[DataFrame, DataFrame]:
+    """The entries without those of a tenant, and one row with the number removed."""
+    own = namespace() == F.coalesce(F.lit(user).cast("string"), F.lit("anon"))
+    return entries.where(~own), entries.agg(F.count_if(own).alias("removed"))
+
+
+def listed(entries: DataFrame, size: int = 120) -> DataFrame:
+    """Entries as a list shows them: the answer's first ``size`` characters."""
+    return entries.withColumn("answer", F.left("answer", F.lit(size)))
+
+
 def counters(outcomes: DataFrame) -> DataFrame:
     """One row: lookups, hits, misses by reason, and the hit rate in percent."""
     of = lambda reason: F.count_if(F.col("reason") == reason)

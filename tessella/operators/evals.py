@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import text as T
+
 #: Thresholds of the sweep, and the gate's checks (name, bound, whether the bound is a maximum).
 THRESHOLDS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7)
 GATE = (
@@ -173,5 +175,115 @@ def dataset_problems(cases: DataFrame) -> DataFrame:
     return own.unionByName(twice)
 
 
-def thresholds_frame(spark: SparkSession, thresholds=THRESHOLDS) -> DataFrame:
-    return spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+def score_cases(results: DataFrame, plain=lambda c: c, plain_all=lambda c: c) -> DataFrame:
+    """Verdict of each case: (id, behaviour, passed, failures, fixed_known, reason_note), failures in a fixed order.
+
+    results: id, expect, expected_pages, retrieved_pages, must_contain, must_not_contain, answer, grounded, reason,
+    preferred_reason, known_failure. Behaviour counts first, then retrieval where pages are expected, then strings.
+    A reason other than the preferred one is only noted. A null ``grounded`` is not answered. ``plain`` is what the
+    answer is compared by, ``plain_all`` the same of lists.
+    """
+    answered = F.coalesce("grounded", F.lit(False))
+    retrieval = retrieval_scores(F.col("expected_pages"), F.coalesce("retrieved_pages", F.array().cast("array<int>")))
+    compared = results.withColumns({"said": plain(F.col("answer")), "must": plain_all(F.col("must_contain")), "never": plain_all(F.col("must_not_contain"))})
+    scored = compared.withColumns(
+        {
+            "behaviour": behaviour(F.col("expect"), answered),
+            "hit": retrieval["hit"],
+            "strings": T.check_strings(F.col("said"), F.col("must_contain"), F.col("must_not_contain"), F.col("must"), F.col("never")),
+        }
+    )
+    listed = lambda c: F.array_join(c, ", ")
+    failures = F.array_compact(
+        F.array(
+            F.when(F.col("behaviour") == "false_accept", "answered when it should have refused"),
+            F.when(F.col("behaviour") == "false_refusal", "refused when it should have answered"),
+            F.when(~F.col("hit"), F.concat(F.lit("expected page(s) "), F.array_join(F.col("expected_pages").cast("array<string>"), ","), F.lit(" not retrieved"))),
+            F.when(F.size("strings.missing") > 0, F.concat(F.lit("answer missing: "), listed("strings.missing"))),
+            F.when(F.size("strings.forbidden") > 0, F.concat(F.lit("answer contains forbidden: "), listed("strings.forbidden"))),
+        )
+    )
+    known = F.coalesce("known_failure", F.lit("")) != ""
+    other = F.col("preferred_reason").isNotNull() & ~F.col("reason").eqNullSafe(F.col("preferred_reason"))
+    note = F.concat(F.lit('caught by "'), F.coalesce("reason", F.lit("null")), F.lit('" rather than the usual "'), "preferred_reason", F.lit('"'))
+    return scored.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0).select(
+        *results.columns, "behaviour", "hit", "passed", "failures", (known & F.col("passed")).alias("fixed_known"), F.when(other, note).alias("reason_note")
+    )
+
+
+CLAIMS = "claims array<struct<claim string, supported boolean, evidence string>>, verdict string"
+#: Verdicts of the groundedness judge.
+VERDICTS = ("fully_grounded", "partially_grounded", "not_grounded")
+
+
+def groundedness(reply: Column) -> Column:
+    """struct(verdict, claims, unsupported, score) of a judge's reply; ``judge_failed`` without a score if it cannot be read.
+
+    The score is the share of supported claims, 0 without claims, whatever the judge's own verdict.
+    """
+    parsed = F.from_json(T.strip_fences(reply), CLAIMS)
+    complete = F.forall(parsed["claims"], lambda c: c["claim"].isNotNull() & c["supported"].isNotNull())
+    read = F.coalesce(parsed["claims"].isNotNull() & parsed["verdict"].isin(*VERDICTS) & complete, F.lit(False))
+    claims = F.when(read, parsed["claims"])
+    return F.struct(
+        F.when(read, parsed["verdict"]).otherwise("judge_failed").alias("verdict"),
+        F.coalesce(F.size(claims), F.lit(0)).cast("long").alias("claims"),
+        F.when(read, F.size(F.filter(claims, lambda c: ~c["supported"]))).cast("long").alias("unsupported"),
+        judge_score(claims).alias("score"),
+    )
+
+
+def refusal(reply: Column) -> Column:
+    """struct(correct, reasoning) of a refusal judge's reply; both null if it cannot be read."""
+    parsed = F.from_json(T.strip_fences(reply), "correct boolean, reasoning string")
+    read = parsed["correct"].isNotNull() & parsed["reasoning"].isNotNull()
+    return F.struct(F.when(read, parsed["correct"]).alias("correct"), F.when(read, parsed["reasoning"]).alias("reasoning"))
+
+
+def override(scores: DataFrame, judged: DataFrame) -> DataFrame:
+    """Scores (id, grounded, passed, failures, ...) after the judge (id, reply): an answered case with a score under 1 fails.
+
+    A reply that cannot be read, or none, changes nothing.
+    """
+    joined = scores.join(judged.select("id", groundedness(F.col("reply")).alias("judge")), "id", "left")
+    fails = F.coalesce(F.col("grounded") & (F.col("judge.score") < 1), F.lit(False))
+    more = F.concat(F.lit("judge: "), F.col("judge.unsupported").cast("string"), F.lit(" unsupported claim(s)"))
+    return joined.withColumns(
+        {
+            "passed": F.col("passed") & ~fails,
+            "failures": F.when(fails, F.concat("failures", F.array(more))).otherwise(F.col("failures")),
+            "judge_score": F.col("judge.score"),
+        }
+    ).drop("judge")
+
+
+def diagnosis(passed: Column, hit: Column, acts: Column, judged: Column) -> Column:
+    """Which half of a failed case broke: ``retrieval`` before ``answering``; null where neither is shown."""
+    answering = acts.isin("false_accept", "false_refusal") | F.coalesce(judged < 1, F.lit(False))
+    return F.when(~passed, F.when(~hit, "retrieval").when(answering, "answering"))
+
+
+def totals(scores: DataFrame) -> DataFrame:
+    """One row a view (``all``, ``tracked`` without known failures): cases, passed, failed, known, sums of cost and latency."""
+    known = F.coalesce("known_failure", F.lit("")) != ""
+    views = F.when(known, F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("tracked")))
+    seen = scores.withColumn("known", known).withColumn("view", F.explode(views))
+    return seen.groupBy("view").agg(
+        F.count("*").alias("cases"),
+        F.count_if("passed").alias("passed"),
+        F.count_if(~F.col("passed") & ~F.col("known")).alias("failed"),
+        F.count_if("known").alias("known"),
+        F.count_if("fixed_known").alias("fixed"),
+        F.sum("cost_nano").alias("cost_nano"),
+        F.sum("latency_ms").alias("latency_ms"),
+    )
+
+
+def report_lines(summaries: DataFrame) -> DataFrame:
+    """(view, line): the one-line summary of each view of ``totals``."""
+    rate = F.round(F.try_divide(100.0 * F.col("passed"), F.col("cases")))
+    line = F.concat(
+        F.col("passed").cast("string"), F.lit("/"), F.col("cases").cast("string"), F.lit(" passed ("), F.coalesce(rate.cast("long").cast("string"), F.lit("-")),
+        F.lit("%), "), F.col("failed").cast("string"), F.lit(" failed, "), F.col("known").cast("string"), F.lit(" known"),
+    )
+    return summaries.select("view", line.alias("line"))

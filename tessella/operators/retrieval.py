@@ -25,6 +25,10 @@ STOP_WORDS = (
 ).split()
 
 
+#: Rows of the corpus that a task multiplies by a block at once, so that the scores take 32 MB.
+SLICE = 1024
+
+
 def top_k(scored: DataFrame, query: str, score: Column, tie: str, k: int, rank: str = "rank") -> DataFrame:
     """The k best rows of each query by score, then ``tie``; ranks start at 1. Spark limits groups before the shuffle."""
     order = Window.partitionBy(query).orderBy(score, tie)
@@ -50,14 +54,13 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, block: int =
 
 
 def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
-    held: list = []
-    for row in queries.where("q is not null").select("query_id", "q").toLocalIterator():
+    by_width: dict[int, list] = {}
+    for row in queries.where("size(q) > 0").select("query_id", "q").toLocalIterator():
+        held = by_width.setdefault(len(row[1]), [])
         held.append((row[0], row[1]))
         if len(held) == block:
-            yield held
-            held = []
-    if held:
-        yield held
+            yield by_width.pop(len(row[1]))
+    yield from by_width.values()
 
 
 def _nearest(block: list, k: int):
@@ -69,7 +72,7 @@ def _nearest(block: list, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_s = np.empty((len(ids), 0))
         best_i = np.empty((len(ids), 0), dtype=np.int64)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             lists = batch.column(1)
             good = pc.equal(pc.list_value_length(lists), width).fill_null(False)
             keys = batch.column(0).filter(good).to_numpy(zero_copy_only=False).astype(np.int64)

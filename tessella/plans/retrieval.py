@@ -160,12 +160,12 @@ SELECT user_id, event_id AS entry_id FROM (
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     """Context of each benchmark item from the passages of its keyword search."""
     hits = keyword_search_or(spark, d).where("rank <= 3")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("page"), T.preview("text").alias("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("page"), "text")
     return answering.context(hits.join(docs, "id"))
 
 
 _CONTEXT = f"""
-SELECT query_id, string_agg('[Passage ' || rank || '] (page ' || (doc_id % 10) || ')' || chr(10) || left(regexp_replace(text, '\\s+', ' ', 'g'), 140),
+SELECT query_id, string_agg('[Passage ' || rank || '] (page ' || (doc_id % 10) || ')' || chr(10) || text,
                             chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
 FROM ({_KEYWORD}) h JOIN documents ON doc_id = id WHERE rank <= 3 GROUP BY query_id"""
 
