@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -42,11 +43,11 @@ def _packed(text: str, start: int, end: int, mark: str, target: int) -> list[tup
     From each cut the furthest one within ``target`` is looked up in the table of cuts; a unit that is too long is a
     span by itself. A span never starts with an empty unit.
     """
-    cuts = [m.start() for m in re.finditer(re.escape(mark), text[start:end])]
-    if not cuts:
+    units = text[start:end].split(mark)
+    if len(units) == 1:
         return [(start, end)]
-    begins = [start, *(start + c + len(mark) for c in cuts)]
-    ends = [*(start + c for c in cuts), end]
+    ends = list(accumulate(map(len, units), lambda at, size: at + len(mark) + size, initial=start - len(mark)))[1:]
+    begins = [start, *(e + len(mark) for e in ends[:-1])]
     spans, unit = [], 0
     while unit < len(begins):
         last = bisect_right(ends, begins[unit] + target) - 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import python_text as P
 from tessella.functions import text as T
 from tessella.session import ship
 
@@ -23,10 +26,11 @@ STOP_WORDS = (
     "a an and are as at be by for from had has have he her his in into is it its not of on or she that the their them then there "
     "these they this to was we were what when where which who will with you your"
 ).split()
-
-
 #: Rows of the corpus that a task multiplies by a block at once, so that the scores take 32 MB.
 SLICE = 1024
+#: Distinct terms of a block of queries.
+BLOCK_TERMS = 8192
+_TOKEN = re.compile("[a-z0-9]+")
 
 
 def top_k(scored: DataFrame, query: str, score: Column, tie: str, k: int, rank: str = "rank") -> DataFrame:
@@ -81,14 +85,8 @@ def _nearest(block: list, k: int):
             vectors = lists.filter(good).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
             scores = np.round(matrix @ vectors.T, 9)
             scores[ids[:, None] == keys[None, :]] = -np.inf
-            all_s = np.concatenate([best_s, scores], axis=1)
-            all_i = np.concatenate([best_i, np.broadcast_to(keys, scores.shape)], axis=1)
-            order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-        q = np.repeat(ids, best_s.shape[1])
-        s, i = best_s.ravel(), best_i.ravel()
-        keep = np.isfinite(s)
-        yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(i[keep]), pa.array(s[keep])], names=["query_id", "id", "similarity"])
+            best_s, best_i = _merged(best_s, best_i, scores, keys, k)
+        yield _rows(ids, best_s, best_i, "similarity")
 
     return run
 
@@ -119,6 +117,106 @@ def keyword_search(terms: DataFrame, index: DataFrame, k: int = CANDIDATES) -> D
     return top_k(scored, "query_id", F.desc("score"), "id", k)
 
 
+def keyword_top(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, stemmed: bool = False, block: int = 256) -> DataFrame:
+    """The k best rows of docs(id, text) for each of queries(query_id, text), scored as by ``keyword_search``, in one scan a block.
+
+    The stated query set goes out in blocks of at most ``block`` queries and BLOCK_TERMS terms or one query. Each task
+    counts its texts' terms, adds their weights to the queries that hold them, and keeps the k best of each query, so
+    neither postings nor hits are shuffled. With ``stemmed`` both sides are compared by Porter stems. A null or empty
+    text, or a query of stop words only, has no hits; ties go to the lowest id.
+    """
+    ship(docs.sparkSession)
+    found = None
+    for part in _term_blocks(queries, block, stemmed):
+        best = docs.select("id", "text").mapInArrow(_best_texts(part, k, stemmed), "query_id long, id long, score double")
+        found = best if found is None else found.unionByName(best)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    return top_k(found, "query_id", F.desc("score"), "id", k)
+
+
+def _words(text: str | None, stemmed: bool, stems: dict[str, str]) -> list[str]:
+    words = _TOKEN.findall((text or "").lower())
+    if not stemmed:
+        return words
+    for w in set(words).difference(stems):
+        stems[w] = P.stem(w)
+    return [stems[w] for w in words]
+
+
+def _term_blocks(queries: DataFrame, block: int, stemmed: bool) -> Iterator[list[tuple[int, list[str]]]]:
+    held: list[tuple[int, list[str]]] = []
+    seen: set[str] = set()
+    for row in queries.select("query_id", "text").toLocalIterator():
+        plain = [w for w in _words(row[1], False, {}) if w not in STOP_WORDS]
+        terms = sorted({P.stem(w) for w in plain} if stemmed else set(plain))
+        if not terms:
+            continue
+        if held and (len(held) == block or len(seen.union(terms)) > BLOCK_TERMS):
+            yield held
+            held, seen = [], set()
+        held.append((row[0], terms))
+        seen.update(terms)
+    if held:
+        yield held
+
+
+def _best_texts(block: list[tuple[int, list[str]]], k: int, stemmed: bool):
+    """Task function: the k best rows of its batches for each query of the block."""
+    ids = np.array([q for q, _ in block], dtype=np.int64)
+    numbers: dict[str, int] = {}
+    for _, terms in block:
+        for term in terms:
+            numbers.setdefault(term, len(numbers))
+    pairs = sorted((numbers[t], q, 1.0 / len(terms)) for q, (_, terms) in enumerate(block) for t in terms)
+    term, query, share = (np.array(c) for c in zip(*pairs))
+    first = np.searchsorted(term, np.arange(len(numbers) + 1))
+
+    def scores_of(texts: list[str | None], stems: dict[str, str]) -> np.ndarray:
+        counted = [Counter(map(numbers.get, _words(t, stemmed, stems))) for t in texts]
+        rows = [(d, t, n) for d, c in enumerate(counted) for t, n in c.items() if t is not None]
+        if not rows:
+            return np.zeros((len(texts), len(ids)))
+        doc, held, tf = np.array(rows, dtype=np.int64).T
+        # The weight of a term that a text has tf times: 0.1 * sum(1/j^2, j <= tf) / ZETA2.
+        weight = 0.1 * np.cumsum(1.0 / np.arange(1, tf.max() + 1, dtype=np.float64) ** 2)[tf - 1] / ZETA2
+        number = first[held + 1] - first[held]
+        at = np.arange(number.sum()) + np.repeat(first[held] - (np.cumsum(number) - number), number)
+        cell = np.repeat(doc, number) * len(ids) + query[at]
+        return np.bincount(cell, weights=np.repeat(weight, number) * share[at], minlength=len(texts) * len(ids)).reshape(len(texts), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems: dict[str, str] = {}
+        best_s = np.empty((len(ids), 0))
+        best_i = np.empty((len(ids), 0), dtype=np.int64)
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            if len(stems) > 200_000:
+                stems.clear()
+            named = batch.filter(pc.is_valid(batch.column(0)))
+            keys = named.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            scores = np.round(scores_of(named.column(1).to_pylist(), stems), 9).T
+            scores[scores <= 0] = -np.inf
+            best_s, best_i = _merged(best_s, best_i, scores, keys, k)
+        yield _rows(ids, best_s, best_i, "score")
+
+    return run
+
+
+def _merged(best_s: np.ndarray, best_i: np.ndarray, scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each query's row among those so far and new ones; ties go to the lowest id."""
+    all_s = np.concatenate([best_s, scores], axis=1)
+    all_i = np.concatenate([best_i, np.broadcast_to(keys, scores.shape)], axis=1)
+    order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+    return np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
+
+
+def _rows(ids: np.ndarray, best_s: np.ndarray, best_i: np.ndarray, name: str) -> pa.RecordBatch:
+    q = np.repeat(ids, best_s.shape[1])
+    s, i = best_s.ravel(), best_i.ravel()
+    keep = np.isfinite(s)
+    return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(i[keep]), pa.array(s[keep])], names=["query_id", "id", name])
+
+
 def fuse(vector: DataFrame, keyword: DataFrame, k: int = 5, constant: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists: sum of 1 / (constant + rank), best k of each query."""
     v = vector.select("query_id", "id", F.col("rank").alias("vector_rank"), "similarity")

@@ -37,8 +37,8 @@ WHERE rank <= 20"""
 
 
 def keyword_search_or(spark: SparkSession, d: str) -> DataFrame:
-    terms = retrieval.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    found = retrieval.keyword_search(terms, retrieval.postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", terms))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = retrieval.keyword_top(queries, spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
     return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -57,6 +57,13 @@ SELECT query_id, id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 20"""
 
 
+def keyword_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same search over an inverted index of the documents."""
+    terms = retrieval.query_terms(table(spark, d, "benchmark"), "item_id", "text")
+    found = retrieval.keyword_search(terms, retrieval.postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", terms))
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Both lists of every benchmark item: by the vector of the same number, and by its words."""
     vectors = table(spark, d, "embeddings")
@@ -240,13 +247,14 @@ SELECT doc_id, len(facts)::BIGINT AS checked, len(missing)::BIGINT AS unsupporte
        CASE WHEN len(facts) = 0 THEN 'no_checkable_facts' WHEN len(missing) = 0 THEN 'all_facts_appear_in_citations' ELSE 'some_facts_not_found_in_citations' END AS verdict
 FROM m"""
 
-QUERIES = {f.__name__: f for f in (knn_topk, keyword_search_or, rrf_hybrid, rrf_by_union, vector_distance, cache_outcomes, cache_counters, cache_live, prompt_context, answer_decision, fact_support)}
+QUERIES = {f.__name__: f for f in (knn_topk, keyword_search_or, keyword_index_search, rrf_hybrid, rrf_by_union, vector_distance, cache_outcomes, cache_counters, cache_live, prompt_context, answer_decision, fact_support)}
 SQL = {
     "knn_topk": _KNN,
     "keyword_search_or": _KEYWORD,
     "rrf_hybrid": _RRF,
     "rrf_by_union": _RRF_UNION,
     "vector_distance": _DISTANCE,
+    "keyword_index_search": _KEYWORD,
     "cache_outcomes": _CACHE,
     "cache_counters": _COUNTERS,
     "cache_live": _LIVE,

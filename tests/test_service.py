@@ -86,3 +86,16 @@ def test_small_columns(spark):
     at = F.lit(datetime(2024, 2, 29, 7, 8, 9, 123000))
     assert one(service.iso_time(at)) == "2024-02-29T07:08:09.123Z" and one(service.http_time(at)) == "Thu, 29 Feb 2024 07:08:09 GMT"
     assert one(service.tracing_disabled(F.lit("000"))) and not one(service.tracing_disabled(F.lit("0a"))) and not one(service.tracing_disabled(F.lit(None).cast("string")))
+
+
+def test_keyword_blocks_stems_and_odd_texts(spark):
+    docs = spark.createDataFrame([(1, "The running dogs ran"), (2, "dog dog"), (3, None), (4, ""), (None, "dog"), (5, "cats"), (6, "dog dog")], "id long, text string")
+    queries = spark.createDataFrame([(10, "a dog"), (11, "the"), (12, None), (13, "cat runs"), (14, "dogs cats")], "query_id long, text string")
+    rows = lambda **o: {(r["query_id"], r["rank"], r["id"], r["score"]) for r in retrieval.keyword_top(queries, docs, 2, **o).collect()}
+    two = round(0.1 * 1.25 / retrieval.ZETA2, 9)
+    one = round(0.05 / retrieval.ZETA2, 9)
+    assert rows() == {(10, 1, 2, two), (10, 2, 6, two), (14, 1, 1, one), (14, 2, 5, one)}
+    assert rows(block=1) == rows()
+    stemmed = rows(stemmed=True)
+    assert {(q, i) for q, _, i, _ in stemmed} == {(10, 2), (10, 6), (13, 1), (13, 5), (14, 2), (14, 6)}
+    assert retrieval.keyword_top(queries.limit(0), docs).count() == 0
