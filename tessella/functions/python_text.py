@@ -16,6 +16,7 @@ SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
 #: Characters that normalisation maps to a space, a hyphen, and plain quotes.
 SPACES = "     ⁠"
 HYPHENS = "‐‑‒–—―−"
+_SENTENCE_END = re.compile(r"[.!?](?=\s)")
 _PLAIN = str.maketrans(
     SPACES + HYPHENS + "‘’“”", " " * len(SPACES) + "-" * len(HYPHENS) + "''\"\""
 )
@@ -91,8 +92,8 @@ def merge_small(pieces: list[str], least: int) -> list[str]:
 def overlap_tail(before: str, size: int) -> str:
     """The end of a piece that the next one repeats: from a sentence start, else from a word start."""
     tail = before[-size:]
-    sentences = (i for i, pair in enumerate(zip(tail, tail[1:])) if pair[0] in ".!?" and pair[1].isspace())
-    stop = next(sentences, len(tail))
+    sentence = _SENTENCE_END.search(tail)
+    stop = sentence.start() if sentence else len(tail)
     return tail[stop + 1 if stop < len(tail) - 2 else tail.find(" ") + 1 :].strip()
 
 
