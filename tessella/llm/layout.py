@@ -1,13 +1,16 @@
 """Text of HTML pages as a reader sees it: a tree with implied tags, visibility rules, then layout.
 
 Block elements stand on lines of their own, some with a blank line around; list items get markers and
-indentation; table cells line up in columns; preformatted text keeps its spaces. Nothing visible is left out.
+indentation; table cells line up in columns; preformatted text keeps its spaces. Nothing visible is left out:
+of lists of options the chosen one is shown, of closed details the summary, of drawings their texts. Hidden is what
+an element's style, an attribute, or a simple rule of a style sheet hides; visibility may come back further inside.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +22,8 @@ from tessella.session import ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "head script style template noscript title meta link base iframe object embed noembed noframes svg math canvas "
-    "audio video select datalist textarea input param source track area map col colgroup".split()
+    "head script style template noscript title meta link base iframe object embed noembed noframes canvas "
+    "audio video datalist input param source track area map col colgroup annotation annotation-xml".split()
 )
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -46,8 +49,8 @@ IMPLIED = {
 }
 #: An end tag does not look past these for its start tag.
 SCOPES = frozenset("table td th caption html template".split())
-#: Elements open at once at most; deeper ones add their content to the deepest open one.
-DEPTH = 120
+#: Elements open at once at most, as in browsers; deeper ones add their content to the deepest open one.
+DEPTH = 512
 #: Cells are padded up to this width; longer ones stand as they are.
 WIDEST = 60
 #: Columns that one cell spans at most, as in the HTML standard.
@@ -56,21 +59,66 @@ SPAN = 1000
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_COMMENT_END = re.compile(r"--!?>")
+_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*([a-z]+)", re.I)
+_SHEET = re.compile(r"<style\b[^>]*>(.*?)(?:</style|$)", re.I | re.S)
+_SHEET_NOISE = re.compile(r"/\*.*?\*/|<!--|-->|@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", re.S)
+_SHEET_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?([.#][\w-]+)?$")
 
 
 class Element:
-    """A node: tag, attributes that matter, children (elements and strings)."""
+    """A node: tag, attributes that matter, whether it and all in it is hidden, whether its own text is dark, children."""
 
-    __slots__ = ("attributes", "children", "hidden", "tag")
+    __slots__ = ("attributes", "children", "dark", "hidden", "tag")
 
-    def __init__(self, tag: str, attributes: dict[str, str], hidden: bool):
+    def __init__(self, tag: str, attributes: dict[str, str], hidden: bool, dark: bool = False):
         self.tag = tag
         self.attributes = attributes
         self.hidden = hidden
+        self.dark = dark
         self.children: list = []
 
 
+def _declared(style: str) -> tuple[str | None, str | None]:
+    """The last display and visibility that a style declares."""
+    display, visibility = _DISPLAY.findall(style), _VISIBILITY.findall(style)
+    return display[-1].lower() if display else None, visibility[-1].lower() if visibility else None
+
+
+def style_rules(source: str) -> dict[tuple[str, str], tuple[str | None, str | None]]:
+    """Display and visibility by (tag or "", ".class", "#id" or "") of a page's style sheets, later rules over earlier.
+
+    Only selectors of one tag, class or id, or a tag with one of these, count; rules for some media do not.
+    """
+    rules: dict[tuple[str, str], tuple[str | None, str | None]] = {}
+    for sheet in _SHEET.findall(source):
+        for selectors, style in _SHEET_RULE.findall(_SHEET_NOISE.sub(" ", sheet)):
+            display, visibility = _declared(style)
+            if display is None and visibility is None:
+                continue
+            for selector in selectors.split(","):
+                simple = _SIMPLE.match(selector.strip())
+                if simple and simple[0]:
+                    key = ((simple[1] or "").lower(), simple[2] or "")
+                    before = rules.get(key, (None, None))
+                    rules[key] = display or before[0], visibility or before[1]
+    return rules
+
+
+def _style(tag: str, attributes: dict[str, str], rules: dict) -> tuple[str | None, str | None]:
+    """Display and visibility of an element: its own style over the sheets', ids over classes over tags there."""
+    display, visibility = _declared(attributes.get("style", ""))
+    if rules:
+        names = ["", *("." + c for c in attributes.get("class", "").split()), *(["#" + attributes["id"]] if "id" in attributes else [])]
+        for name in reversed(names):
+            for of in (tag, ""):
+                found = rules.get((of, name), (None, None))
+                display, visibility = display or found[0], visibility or found[1]
+    return display, visibility
+
+
 def _attributes(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, double, single, bare in _ATTRIBUTE.findall(text):
@@ -82,6 +130,7 @@ def parse(source: str) -> Element:
     """Tree of a page. Unclosed tags close where HTML implies it or at the end; stray end tags are ignored."""
     root = Element("html", {}, False)
     stack = [root]
+    rules = style_rules(source) if "<style" in source or "<STYLE" in source else {}
     at, end = 0, len(source)
     lower = None
 
@@ -95,16 +144,22 @@ def parse(source: str) -> Element:
                 close_until(tags, fence)
                 return
 
+    def add_text(data: str) -> None:
+        if not stack[-1].dark:
+            stack[-1].children.append(data)
+
     while at < end:
         open_at = source.find("<", at)
         if open_at < 0:
-            stack[-1].children.append(html.unescape(source[at:]))
+            add_text(html.unescape(source[at:]))
             break
         if open_at > at:
-            stack[-1].children.append(html.unescape(source[at:open_at]))
+            add_text(html.unescape(source[at:open_at]))
         if source.startswith("<!--", open_at):
-            close = source.find("-->", open_at + 4)
-            at = end if close < 0 else close + 3
+            # "<!-->" and "<!--->" are comments that are empty.
+            empty = source.startswith((">", "->"), open_at + 4)
+            close = None if empty else _COMMENT_END.search(source, open_at + 4)
+            at = source.find(">", open_at) + 1 if empty else close.end() if close else end
             continue
         following = source[open_at + 1 : open_at + 2]
         if following in ("!", "?"):
@@ -118,7 +173,7 @@ def parse(source: str) -> Element:
                 close = source.find(">", open_at)
                 at = end if close < 0 else close + 1
                 continue
-            stack[-1].children.append("<")
+            add_text("<")
             at = open_at + 1
             continue
         at = match.end()
@@ -144,19 +199,23 @@ def parse(source: str) -> Element:
             close_until({"p"}, {"table", "td", "th", "button"})
         if tag in IMPLIED:
             close_until(*IMPLIED[tag])
+        display, visibility = _style(tag, attributes, rules)
         unseen = (
             tag in HIDDEN
-            or "hidden" in attributes
+            or display == "none"
+            or ("hidden" in attributes and display is None)
             or (tag == "dialog" and "open" not in attributes)
-            or bool(_UNSEEN.search(attributes.get("style", "")))
         )
-        node = Element(tag, attributes, unseen)
+        dark = stack[-1].dark if visibility in (None, "inherit") else visibility in ("hidden", "collapse")
+        node = Element(tag, attributes, unseen, dark)
         stack[-1].children.append(node)
         if tag in RAW:
             if lower is None:
                 lower = source.lower() if len(source.lower()) == len(source) else source
             close = lower.find("</" + tag, at)
-            node.children.append(source[at : end if close < 0 else close])
+            content = source[at : end if close < 0 else close]
+            if not dark:
+                node.children.append(html.unescape(content) if tag in ("textarea", "title") else content)
             close = end if close < 0 else lower.find(">", close)
             at = end if close < 0 else close + 1
         elif tag not in VOID and not match[3].endswith("/") or tag in BLOCK and tag not in VOID:
@@ -236,9 +295,15 @@ def render(node: Element, page: Page) -> None:
             page.gap()
         elif tag in BLOCK:
             page.end_line()
-        if tag == "table":
+        if tag == "details" and "open" not in child.attributes:
+            _closed(child, page)
+        elif tag == "select":
+            page.text(f" {_chosen(child)} ")
+        elif tag == "svg":
+            _drawn(child, page)
+        elif tag == "table":
             page.add(_table(child))
-        elif tag in ("pre", "xmp"):
+        elif tag in ("pre", "xmp", "textarea"):
             page.add(_text_of(child).expandtabs(8).strip("\n").split("\n"))
         elif tag in ("ul", "ol", "menu", "dir"):
             page.add(_list(child))
@@ -262,6 +327,43 @@ def _lines(node: Element) -> list[str]:
     return page.done()
 
 
+def _closed(node: Element, page: Page) -> None:
+    """Closed details show their first summary only."""
+    summary = next((x for x in node.children if isinstance(x, Element) and x.tag == "summary" and not x.hidden), None)
+    if summary is not None:
+        render(summary, page)
+
+
+def _chosen(node: Element) -> str:
+    """What a list of options shows: the selected ones, else the first; all of a list that stands open."""
+    options, todo = [], list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Element) and not x.hidden:
+            if x.tag == "option":
+                options.append(x)
+            else:
+                todo.extend(reversed(x.children))
+    if "multiple" not in node.attributes and _number(node.attributes.get("size", ""), 1) < 2:
+        options = [x for x in options if "selected" in x.attributes][-1:] or options[:1]
+    return " ".join(_text_of(x) or x.attributes.get("label", "") for x in options)
+
+
+def _drawn(node: Element, page: Page) -> None:
+    """Text elements of a drawing, in order; its titles, descriptions and definitions are not drawn."""
+    todo = list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x.hidden or x.tag in ("title", "desc", "defs", "symbol", "metadata"):
+            continue
+        if x.tag in ("text", "foreignobject"):
+            page.text(" ")
+            render(x, page)
+            page.text(" ")
+        else:
+            todo.extend(reversed(x.children))
+
+
 def _text_of(node: Element) -> str:
     parts = []
     todo: list = [node]
@@ -296,7 +398,10 @@ def _list(node: Element) -> list[str]:
         number = _number(child.attributes.get("value", ""), number)
         mark = f"{number}. " if node.tag == "ol" else "- "
         number += 1
-        lines = _lines(child) or [""]
+        lines = _lines(child)
+        if not lines and child.dark:
+            continue
+        lines = lines or [""]
         out.append((mark + lines[0]).rstrip())
         out.extend(" " * len(mark) + x if x else x for x in lines[1:])
     flush()
@@ -329,8 +434,11 @@ def _table(node: Element) -> list[str]:
     """Cells side by side, columns of one width, two spaces apart; a cell of several lines takes several lines."""
     above: list[str] = []
     grid: list[list[tuple[int, list[str]]]] = []
+    # Rows that a cell above still takes in a column; 0 rows last to the end of the table.
+    taken: dict[int, float] = {}
     for row in _rows(node, above):
         cells, column = [], 0
+        begun: dict[int, float] = {}
         for child in row.children:
             if isinstance(child, str) or child.tag not in ("td", "th"):
                 if isinstance(child, str) and not child.strip():
@@ -340,8 +448,15 @@ def _table(node: Element) -> list[str]:
                 child = holder
             if child.hidden:
                 continue
+            while taken.get(column, 0) > 0:
+                column += 1
             cells.append((column, _lines(child)))
-            column += min(SPAN, max(1, _number(child.attributes.get("colspan", ""), 1)))
+            across = min(SPAN, max(1, _number(child.attributes.get("colspan", ""), 1)))
+            down = _number(child.attributes.get("rowspan", ""), 1)
+            if down != 1:
+                begun |= dict.fromkeys(range(column, column + across), float("inf") if down == 0 else min(down, 65_534) - 1)
+            column += across
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | {c: n for c, n in begun.items() if n > 0}
         grid.append(cells)
     if all(len(cells) < 2 for cells in grid):
         # A table of one column only arranges the page.
@@ -370,6 +485,8 @@ def text_of_page(source: str | None) -> str:
     """All visible text of a page, lines joined by line feeds; empty for a null or empty page."""
     if not source:
         return ""
+    # A level of nesting takes three calls at most.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEPTH))
     lines = _lines(parse(source))
     while lines and not lines[-1]:
         lines.pop()
@@ -379,7 +496,7 @@ def text_of_page(source: str | None) -> str:
 def extract(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
     """(key, text, n_lines) of every page, whole. A null or empty page gives an empty text and 0 lines.
 
-    Repeated rows are rendered alike; other columns are not read. Elements nested deeper than 120 add their
+    Repeated rows are rendered alike; other columns are not read. Elements nested deeper than DEPTH add their
     content to the deepest open one, so no page can exhaust the stack.
     """
     ship(pages.sparkSession)

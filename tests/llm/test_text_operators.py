@@ -217,3 +217,33 @@ def test_hashed_texts_and_full_memory(spark, vocabulary, monkeypatch):
     for _ in range(3):
         for i, t in rows:
             assert small.encode(t) == np.array(plain[i]["ids"], dtype=np.int32).tobytes()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a<!-->visible<p>two", "avisible\n\ntwo"),
+        ("a<!--->b<!-- > x --!>c<!-- open", "abc"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+        ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+        ("x <select><option>one<option selected>two</select> y <select><option>three<option>four</select>", "x two y three"),
+        ("<select multiple><option>one<optgroup label=g><option>two</select>", "one two"),
+        ("<textarea>a &amp;\n  b</textarea>", "a &\n  b"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+        ("<svg><title>no</title><g><text>label</text></g><defs><text>no</text></defs>no</svg>", "label"),
+        ("<details><summary>more</summary>hidden</details><details open><summary>s</summary>shown</details>", "more\ns\nshown"),
+        ("<style>/* x */ .a, p.b {color: red; display:none} @media print {.c{display:none}} #i{visibility:hidden}</style>"
+         "<div class='x a'>no</div><p class=b>no</p><div class=b>yes</div><i class=c>also</i><b id=i>no</b>", "yes\nalso"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><i>no</i></div>", "yes"),
+        ("<ul style='visibility:hidden'><li>no<li><b style='visibility:visible'>yes</b></ul>", "- yes"),
+        ("<div style='display:none'><b style='display:block'>no</b></div>end", "end"),
+    ],
+)
+def test_layout_of_visibility_and_spans(page, text):
+    assert layout.text_of_page(page) == text
+
+
+def test_layout_of_deep_nesting():
+    for tag in ("ul><li", "blockquote", "table><tr><td", "div", "details open"):
+        assert layout.text_of_page(f"<{tag}>" * 700 + "deep").split()[-1] == "deep"
