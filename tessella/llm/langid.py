@@ -30,6 +30,8 @@ UNDETERMINED = "und"
 #: Labelled texts of each language in the training sample at most, and training words in all.
 SAMPLE_TEXTS = 250
 SAMPLE_WORDS = 60_000
+#: Parts in which the rows of a language are ranked first.
+RANK_PARTS = 32
 #: Rows of the hashed weight table.
 SLOTS = 1 << 15
 #: Words of a training sequence, of a block in scoring, and about so many scored at once.
@@ -292,13 +294,16 @@ def word_marginals(sequences: list[np.ndarray], t: np.ndarray) -> np.ndarray:
 def training_sample(docs: DataFrame, learn: Column, texts: int = SAMPLE_TEXTS) -> DataFrame:
     """(lang, draw, text) of at most ``texts`` labelled rows of each language, those of least hash.
 
-    Only hashes are ranked (map-side first); texts are read for the chosen rows alone. Copies of a row have one draw,
-    and one text of each is enough.
+    Only hashes are ranked, first in RANK_PARTS parts of a language and then those left of each, so that a language of
+    very many rows is spread and its last ranking bounded; texts are read for the chosen rows alone. Copies of a row
+    have one draw, and one text of each is enough.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     marked = labelled.select("lang", "text", F.xxhash64(F.lit(29), "doc_id", "text").alias("draw"))
     ranked = marked.select("lang", "draw").distinct()
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= texts)
+    part = F.pmod("draw", F.lit(RANK_PARTS))
+    for keys in (["lang", part], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("draw"))).where(F.col("rank") <= texts).drop("rank")
     chosen = marked.join(F.broadcast(ranked.select("lang", "draw")), ["lang", "draw"])
     return chosen.groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
