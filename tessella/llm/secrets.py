@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: leftmost non-overlapping matches whose ``group`` has at least ``least`` characters."""
+    """A kind of secret: leftmost non-overlapping matches whose ``group`` has at least ``least`` characters.
+
+    ``sign`` is a short pattern that every text with a match holds; without one it is the pattern.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     version: int = 1
+    sign: str = ""
 
     @property
     def key(self) -> str:
@@ -30,8 +34,8 @@ class Rule:
 
 #: The base kinds, in the order in which ties of start are listed, then the kinds the ledger adds.
 BASE_RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, sign="(?i:passw|secret|token|api_?key)"),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, sign="AKIA"),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 #: A private key: its header, then all up to its END line, or the base64 that follows where that line is missing. Only
@@ -42,9 +46,9 @@ _PEM = (
     r"|[ \t\r\n\\]{0,8}(?:[A-Za-z]+-[A-Za-z]+:[^\n]*\n){0,4}[ \t\r\n\\]{0,8}[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\r\n\\]*)?"
 )
 ADDED_RULES = (
-    Rule("pem", _PEM, version=2),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("bearer", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("pem", _PEM, version=2, sign="-----BEGIN "),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", sign="eyJ"),
+    Rule("bearer", r"gh[pousr]_[A-Za-z0-9]{36,}", sign="gh[pousr]_"),
 )
 RULES = BASE_RULES + ADDED_RULES
 
@@ -83,13 +87,19 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.pattern), walk).otherwise(F.array().cast(_SPANS))
 
 
+def signed(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether a text may hold a match of any rule; false for null."""
+    return F.coalesce(text.rlike("|".join(f"(?:{r.sign or r.pattern})" for r in rules)), F.lit(False))
+
+
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows (blob, rule, spans) for the pairs of blob and rule version that ``ledger`` lacks.
 
     ``versions`` has text. Copies of a blob are dropped on the map side before texts move, so a blob with very
-    many copies costs one row a task. A null text is the empty blob, which is scanned too.
+    many copies costs one row a task; a text without a sign of any rule has no match, so it stays where it is and only
+    its address moves. A null text is the empty blob, which is scanned too.
     """
-    texts = versions.select(content_address("text").alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = versions.select(content_address("text").alias("blob"), F.when(signed(F.col("text"), rules), F.col("text")).alias("text"))
     if ledger is not None:
         done = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("done"))
         # Only blobs with some rule left to run move on; those the ledger has in full are left out here.
@@ -97,6 +107,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     else:
         texts = texts.withColumn("done", F.lit(None).cast("array<string>"))
     blobs = texts.groupBy("blob").agg(F.first("text").alias("text"), F.first("done").alias("done"))
+    blobs = blobs.withColumn("text", F.coalesce("text", F.lit("")))
     scans = F.array(
         *[
             F.when(
@@ -180,14 +191,17 @@ def redacted_size(text: Column, spans: Column) -> Column:
 def redact_versions(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Documents with every found span masked in their text, and n_chars, where there is one, of the new text.
 
-    Only blobs with findings are joined to, which Spark broadcasts where they are few; all columns stay, whatever
-    their names. A null text stays null; repeated rows are masked alike; an empty table gives none.
+    Only texts with a sign of some rule are joined; the others have no findings and stay as they are. All columns stay,
+    whatever their names. A null text stays null; repeated rows are masked alike; an empty table gives none.
     """
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    joined = docs.select(whole, content_address("text").alias("blob")).join(_hits(ledger, rules), "blob", "left")
+    marked = docs.select(whole, signed(F.col("text"), rules).alias("signed"))
+    risky = marked.where("signed").select("row", content_address(F.col("row")["text"]).alias("blob"))
+    joined = risky.join(_hits(ledger, rules), "blob", "left")
     text, clean = F.col("row")["text"], F.col("spans").isNull()
     new = {"text": F.when(clean, text).otherwise(redact(text, F.col("spans")))}
     if "n_chars" in docs.columns:
         kept = F.col("row")["n_chars"]
         new["n_chars"] = F.when(clean, kept).otherwise(redacted_size(text, F.col("spans")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    masked = joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return docs.where(~signed(F.col("text"), rules)).unionByName(masked)

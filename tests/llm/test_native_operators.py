@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import mixing, perspectives, queries, secrets, urlfilter
 from tests.llm.helpers import docs_of
@@ -231,3 +232,13 @@ def test_masking_keeps_clashing_columns_and_long_texts(spark):
     rows = out.orderBy("doc_id").collect()
     assert [r["doc_id"] for r in rows] == [1, 1, 2] and rows[2]["text"] is None
     assert rows[0]["text"] == "word " * 200_000 + "[SECRET] end" and rows[0]["n_chars"] == len(rows[0]["text"])
+
+
+def test_every_match_has_its_sign(spark, sf_dir):
+    texts = [*ODD, "PASSWD: abcdefgh1", "x Api_Key='12345678'", "apikey=abcdefgh", "ghp_" + "a" * 36, "eyJabcdefgh.abcdefgh.abcdefgh", "-----BEGIN PRIVATE KEY-----"]
+    docs = docs_of(spark, list(enumerate(texts))).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    for rule in secrets.RULES:
+        lost = docs.where(F.col("text").rlike(rule.pattern) & ~secrets.signed(F.col("text"), (rule,)))
+        assert lost.count() == 0
+    plain = secrets.scan_unseen(docs_of(spark, [(1, "no sign here"), (2, None), (3, "a token of thanks")])).collect()
+    assert len(plain) == 3 * len(secrets.RULES) and all(r["spans"] == [] for r in plain)
