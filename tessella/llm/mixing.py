@@ -1,7 +1,7 @@
 """Mixing of sources to target weights by hash-threshold histograms (DataFrame functions only).
 
 Each source gets a target in words. Whole copies of a source come first (target // size); the rest of
-the target is met by the documents whose 64-bit hash lies below a threshold. The threshold is found
+the target is met by the documents whose 36-bit hash lies below a threshold. The threshold is found
 without sorting documents: words are summed by (source, hash bucket), the bucket in which the running
 sum passes the budget is refined on the next hash bits, and so on, so each level reads only one bucket
 of each source. Thresholds nest: a larger budget takes a superset of documents.
@@ -54,23 +54,26 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
 
 def _bits(level: int):
     """Bits of the hash that level 0, 1, ... resolves, highest first."""
-    return F.shiftrightunsigned("hash", 64 - LEVEL_BITS * (level + 1)).bitwiseAND(F.lit(2**LEVEL_BITS - 1))
+    return F.shiftright("hash", LEVEL_BITS * (LEVELS - 1 - level)).bitwiseAND(F.lit(2**LEVEL_BITS - 1))
 
 
 def _sized(docs: DataFrame, seed: int, *columns: str) -> DataFrame:
-    """Size, hash and source key of each document, with the named columns."""
+    """Size, hash and source key of each document, with the named columns.
+
+    The hash is the start of an MD5 sum, which any engine can compute, so that a mix can be checked outside of Spark.
+    """
+    said = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
     return docs.select(
         *columns,
         word_count("text").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("hash"),
+        F.conv(F.left(F.md5(said), F.lit(LEVEL_BITS * LEVELS // 4)), 16, 10).cast("long").alias("hash"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"),
     )
 
 
 def _copies() -> Column:
     """How often the mix takes a document: whole copies, and one more below the threshold of its source."""
-    below = F.shiftrightunsigned("hash", 64 - LEVEL_BITS * LEVELS) < F.col("cut")
-    return F.col("copies") + below.cast("long")
+    return F.col("copies") + (F.col("hash") < F.col("cut")).cast("long")
 
 
 def repeat(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
@@ -117,7 +120,7 @@ def thresholds(sized: DataFrame, weights: Sequence[float], share: float, cap: fl
     )
     for level in range(LEVELS):
         if level:
-            inside = sized.withColumn("prefix", F.shiftrightunsigned("hash", 64 - LEVEL_BITS * level))
+            inside = sized.withColumn("prefix", F.shiftright("hash", LEVEL_BITS * (LEVELS - level)))
             histogram = (
                 inside.join(plan.select("key", "prefix"), ["key", "prefix"])
                 .groupBy("key", _bits(level).alias("bucket"))

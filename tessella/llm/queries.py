@@ -84,6 +84,31 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.extract(read(spark, sf_dir, "pages"))
 
 
+_OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || left(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 9))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END::DOUBLE AS weight, 2 * source_size::DOUBLE AS most FROM s),
+l AS (
+  SELECT *, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS budget, coalesce(sum(most) OVER before, 0) AS capped,
+         sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open
+  FROM w WINDOW before AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT max(CASE WHEN (budget - capped) / open * weight <= most THEN (budget - capped) / open END) AS level FROM l),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN most ELSE least(most, level * weight) END AS target FROM w, f),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM t),
+b AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
+u AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h) AS up_to FROM b),
+c AS (
+  SELECT p.source, min(h) AS h0, arg_min(words, h) AS words, arg_min(up_to, h) AS up_to
+  FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source WHERE up_to > target - copies * source_size GROUP BY p.source),
+q AS (
+  SELECT p.*, h0 + CASE WHEN 2 * (target - copies * source_size - (up_to - words)) >= words THEN 1 ELSE 0 END AS cut
+  FROM p LEFT JOIN c ON p.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, d.source, size, source_size, target, (size * (copies + CASE WHEN h < cut THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source"""
+
+
 def _kind_sql(rank: int, rule: secrets.Rule) -> str:
     pattern = rule.pattern.replace("'", "''")
     return f"""
@@ -148,4 +173,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": _OP6_SQL, "op8_chat_perspectives": _OP8_SQL}
+    return {"op3_mix_sources": _OP3_SQL, "op6_secret_scan": _OP6_SQL, "op8_chat_perspectives": _OP8_SQL}
