@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a slot table, in rows of so many bytes: it has 8 MB of bits at most, whatever it is made of.
+SLOTS = 2**26
+SLOT_BYTES = 256
+#: Rows that one bitmap of Spark's gives, and the power of two of a row's bits.
+_PIECES = 4096 // SLOT_BYTES
+_ROW_SHIFT = (8 * SLOT_BYTES).bit_length() - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -74,3 +80,36 @@ class Scratch:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows as a Parquet table of its own in the shared folder, read again."""
     return Scratch(df.sparkSession).keep(df, name.replace(" ", "_"))
+
+
+def slot_table(hashes: DataFrame) -> DataFrame:
+    """(part, bits): the slots that the 64-bit numbers of a one-column frame take, one bit for each of SLOTS.
+
+    The rows move to their part before bits are set, so what moves grows with the rows and not with the tasks.
+    """
+    slot = F.pmod(F.col(hashes.columns[0]), F.lit(SLOTS))
+    placed = hashes.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("at"))
+    whole = placed.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    # Short rows, as a look-up copies the whole row.
+    pieces = F.sequence(F.lit(0), F.lit(_PIECES - 1))
+    cut = whole.select("part", F.explode(pieces).alias("i"), "bits").select(
+        (F.col("part") * _PIECES + F.col("i")).alias("part"), F.substring("bits", F.col("i") * SLOT_BYTES + 1, F.lit(SLOT_BYTES)).alias("bits")
+    )
+    return written(cut.where("hex(bits) rlike '[^0]'"), "slots")
+
+
+def marked(df: DataFrame, number: str, table: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: false only where ``number`` is none of those that the slot table was made of.
+
+    It may be true for others that share a slot, more often the fuller the table is, so an exact join has to follow.
+    The table is broadcast, which its fixed size allows.
+    """
+    slot = F.pmod(F.col(number), F.lit(SLOTS))
+    held = table.select(F.col("part").alias(f"{name}_part"), F.col("bits").alias(f"{name}_bits"))
+    place = F.bitmap_bit_position(slot)
+    at = place.bitwiseAND(F.lit(8 * SLOT_BYTES - 1))
+    byte = F.conv(F.hex(F.substring(F.col(f"{name}_bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    part = F.bitmap_bucket_number(slot) * _PIECES + F.shiftright(place, _ROW_SHIFT)
+    joined = df.join(F.broadcast(held), part == F.col(f"{name}_part"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], found.alias(name))

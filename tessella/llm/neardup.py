@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, written
+from tessella.llm.common import Scratch, marked, slot_table, written
 from tessella.llm.components import components
 from tessella.session import ship
 
@@ -317,9 +317,12 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     pairs = scratch.keep(_promising(_first_pairs(members), classes, threshold), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(members.where(F.col("together") > SMALL).select("cid")).distinct()
     place = classes.select("cid", "at.key", "at.text_hash").join(wanted, "cid")
-    place = place.select("cid", F.xxhash64("key", "text_hash").alias("place"))
+    place = scratch.keep(place.select("cid", F.xxhash64("key", "text_hash").alias("place")), "place")
     # The text of one row of each class; copies of it that sit in other rows with the same key go on the map side.
-    texts = source.select(F.xxhash64("key", "text_hash").alias("place"), "text").join(place, "place").groupBy("cid").agg(F.first("text").alias("text"))
+    # Texts that no pair and no large band needs stay where they are, but for those that share a slot.
+    placed = source.select(F.xxhash64("key", "text_hash").alias("place"), "text")
+    needed = marked(placed, "place", slot_table(place.select("place")), "needed").where("needed").drop("needed")
+    texts = needed.join(place, "place").groupBy("cid").agg(F.first("text").alias("text"))
     sets = scratch.keep(shingle_sets(texts, width), "sets")
     links = scratch.keep(_linked(pairs, sets, threshold), "links")
     labels = components(links)
@@ -331,7 +334,7 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     lowest = held.where("label is not null").groupBy("label").agg(F.min("class_id").alias("component_id"))
     named = held.join(lowest, "label", "left").select("digest", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     named = scratch.keep(named, "named")
-    scratch.drop("classes", "met", "members", "pairs", "sets", "links", "near", "bridges")
+    scratch.drop("classes", "met", "members", "pairs", "place", "sets", "links", "near", "bridges")
     out = rows.select("key", "n_shingles", "digest").join(named, "digest", "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("key")).otherwise(F.col("component_id"))
@@ -354,9 +357,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     columns = [F.col("row")[c].alias(c) for c in docs.columns]
     unclear = not docs.groupBy(F.col(key).alias("own")).agg(F.count("*").alias("n")).where("n > 1 OR own IS NULL").isEmpty()
     if not unclear:
-        # The keys are written first, so the job that moves the texts has a short plan.
-        kept = written(group(docs, key, text, width, threshold).where("kept").select(F.col(key).alias("own")), "kept")
-        return docs.select(whole, F.col(key).alias("own")).join(kept, "own", "left_semi").select(*columns)
+        # Only rows whose slot is a dropped key's move to the exact check; all others stay where they are.
+        gone = written(group(docs, key, text, width, threshold).where("not kept").select(F.col(key).alias("own")), "gone")
+        rows = docs.select(whole, F.col(key).alias("own"), F.xxhash64(key).alias("number"))
+        seen = marked(rows, "number", slot_table(gone.select(F.xxhash64("own"))), "suspect")
+        cleared = seen.where("suspect").join(gone, "own", "left_anti")
+        return seen.where("not suspect").unionByName(cleared).select(*columns)
     own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text"))
     keyed = docs.select(whole, own.alias("own"), F.col(text).alias("said"))
     kept = written(group(keyed, "own", "said", width, threshold).where("kept").select("own").distinct(), "kept")

@@ -5,8 +5,9 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tessella.llm import neardup
+from tessella.llm import common, neardup
 from tessella.llm.components import components
 from tests.llm.helpers import docs_of
 
@@ -184,3 +185,25 @@ def test_repeated_keys_elsewhere_do_not_change_who_stays(spark):
     rows = [(9, "x y z w"), (10, "x y z w"), (3, "other words are here"), (3, "third words are there now")]
     kept = neardup.keep_one(docs_of(spark, rows))
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, rows[2][1]), (3, rows[3][1]), (9, "x y z w")]
+
+
+def test_slot_tables_miss_no_number(spark, monkeypatch):
+    numbers = spark.range(3000).select(F.xxhash64("id").alias("n"))
+    other = spark.range(3000, 6000).select(F.xxhash64("id").alias("n"))
+    for slots in (2**26, 2**15):
+        monkeypatch.setattr(common, "SLOTS", slots)
+        table = common.slot_table(numbers)
+        assert common.marked(numbers, "n", table, "found").where("found").count() == 3000
+        shared = common.marked(other, "n", table, "found").where("found").count()
+        assert shared < 10 if slots == 2**26 else 0 < shared < 600
+    none = common.slot_table(numbers.limit(0))
+    assert common.marked(numbers, "n", none, "found").where("found").count() == 0
+
+
+def test_survivors_where_all_rows_share_slots(spark, monkeypatch):
+    rows = [(i, f"{i % 40} " + " ".join(f"w{i % 40}x{j}" for j in range(60))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = list(range(40))
+    assert sorted(r[0] for r in neardup.keep_one(docs).select("doc_id").collect()) == want
+    monkeypatch.setattr(common, "SLOTS", 1)
+    assert sorted(r[0] for r in neardup.keep_one(docs).select("doc_id").collect()) == want
