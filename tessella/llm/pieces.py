@@ -30,7 +30,7 @@ UNKNOWN_PENALTY = 10.0
 #: Units of a generation of a worker's memory.
 REMEMBERED = 150_000
 #: Characters of one Arrow output batch, about.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: Units that a lattice holds at once, and their bytes at most; longer ones go one by one.
 LATTICE_UNITS = 8_192
 LATTICE_BYTES = 64
