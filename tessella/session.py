@@ -9,6 +9,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED = "tessella_shipped"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_DEFAULT_ROWS = "10000"
+#: Rows of an Arrow batch where the session has Spark's own default.
+BATCH_ROWS = 1_000
 
 
 def build(app: str = "tessella", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,8 +34,13 @@ def build(app: str = "tessella", master: str | None = None, **conf: str) -> Spar
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, once a context, for code that they run by name.
 
+    Arrow batches get at most BATCH_ROWS rows, unless the session states another number than Spark's default of
+    10,000: rows may hold long texts, and a batch is held by the JVM and by the worker at once.
+
     The archive lies in a folder of the driver's; Spark itself serves it to the executors.
     """
+    if spark.conf.get(_BATCH, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, _SHIPPED, False):
         return
