@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import fingerprints, langid, layout, mixing, neardup, perspectives, pieces, repetition, secrets, urlfilter
+from tessella.llm import (
+    fingerprints, langid, layout, linededup, mixing, neardup, periods, perspectives, pieces, repetition, secrets, turns, urlfilter,
+)
 from tessella.llm.common import read
 
 #: Rules of op5: fixed values.
@@ -84,6 +87,50 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of 20 characters or more that two or more others hold, but for the last of them."""
+    kept = linededup.drop_common_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def damaged(said: DataFrame) -> DataFrame:
+    """Conversations with the damage of op12's contract; ``times`` is how often a row occurs."""
+    given = said.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")])
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    code = F.crc32(name.cast("binary")) % 20
+    return given.select(
+        "conv_id",
+        "turn",
+        F.when(code == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(code == 1, "").when(code == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.when(code == 0, 0).when(code == 3, 2).otherwise(1).alias("times"),
+    )
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    return turns.repair(damaged(read(spark, sf_dir, "conversations")), times="times", with_turns=False).drop("turns")
+
+
+def planted(key: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with the repetition that op13's contract plants in one document of ten; none without a key."""
+    h = zlib.crc32(str(key).encode())
+    n, g = len(words), h // 10
+    if key is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, and its words without their repetitions."""
+    found = periods.find(read(spark, sf_dir, "documents"), edit=planted)
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
+
+
 _OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -154,6 +201,19 @@ SELECT conv_id, perspective, turn, role_name, segment, (up_to - length(segment))
 FROM p"""
 
 
+_OP11_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, line, translate(trim(line, e'\x20\x09\x0A\x0B\x0C\x0D'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+k AS (
+  SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT l.*, k.key IS NOT NULL AND doc_id < last AS lost FROM l LEFT JOIN k ON l.key = k.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE lost))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM j GROUP BY doc_id"""
+
+
 _QUERIES = (
     op1_sentencepiece,
     op2_near_duplicates,
@@ -165,6 +225,9 @@ _QUERIES = (
     op8_chat_perspectives,
     op9_fingerprints,
     op10_page_text,
+    op11_line_dedup,
+    op12_turn_repair,
+    op13_periodic_runs,
 )
 
 
@@ -173,4 +236,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": _OP3_SQL, "op6_secret_scan": _OP6_SQL, "op8_chat_perspectives": _OP8_SQL}
+    return {"op3_mix_sources": _OP3_SQL, "op6_secret_scan": _OP6_SQL, "op8_chat_perspectives": _OP8_SQL, "op11_line_dedup": _OP11_SQL}
