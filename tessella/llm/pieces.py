@@ -28,7 +28,7 @@ MARK = "▁"
 #: Score of an uncovered character below the lowest piece score, as SentencePiece has it.
 UNKNOWN_PENALTY = 10.0
 #: Units of a generation of a worker's memory.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 #: Characters of one Arrow output batch, about.
 BATCH_CHARS = 1_000_000
 #: Units that a lattice holds at once, and their bytes at most; longer ones go one by one.
