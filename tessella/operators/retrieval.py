@@ -8,13 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import python_text as P
 from tessella.functions import text as T
+from tessella.operators import vectorindex
+from tessella.operators.blocks import meet
 from tessella.session import ship
+from tessella.sources.scratch import Tables
 
 #: Fusion constant and candidates a retriever gives a query.
 RRF_K = 60
@@ -26,9 +28,9 @@ STOP_WORDS = (
     "a an and are as at be by for from had has have he her his in into is it its not of on or she that the their them then there "
     "these they this to was we were what when where which who will with you your"
 ).split()
-#: Rows of the corpus that a task multiplies by a block at once, so that the scores take 32 MB.
+#: Texts of a block.
 SLICE = 1024
-#: Distinct terms of a block of queries.
+#: Distinct terms of a block of keyword queries.
 BLOCK_TERMS = 8192
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -39,56 +41,14 @@ def top_k(scored: DataFrame, query: str, score: Column, tie: str, k: int, rank:
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, block: int = 4096) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, block: int = vectorindex.BLOCK) -> DataFrame:
     """Exact nearest rows by cosine: queries(query_id, q) and corpus(id, v), unit vectors, to (query_id, id, similarity, rank).
 
-    The stated query set goes out in blocks of at most ``block`` rows, whose size is thus bounded. Each task
-    multiplies its corpus batches by a block and keeps the k best of each query, so what is shuffled is
-    queries * k rows a task, not queries * corpus. A row is no neighbour of the query of the same id. Vectors that
-    are null or of another length than the query's are no neighbours; ties go to the lowest id.
+    Each task multiplies its blocks of the corpus by the blocks of queries and keeps the k best of each query, so what is
+    shuffled is queries * k rows a task, not queries * corpus. A row is no neighbour of the query of the same id.
+    Vectors that are null or of another length than the query's are no neighbours; ties go to the lowest id.
     """
-    ship(corpus.sparkSession)
-    found = None
-    for part in _blocks(queries, block):
-        best = corpus.select("id", "v").mapInArrow(_nearest(part, k), "query_id long, id long, similarity double")
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
-    return top_k(found, "query_id", F.desc("similarity"), "id", k)
-
-
-def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
-    by_width: dict[int, list] = {}
-    for row in queries.where("size(q) > 0").select("query_id", "q").toLocalIterator():
-        held = by_width.setdefault(len(row[1]), [])
-        held.append((row[0], row[1]))
-        if len(held) == block:
-            yield by_width.pop(len(row[1]))
-    yield from by_width.values()
-
-
-def _nearest(block: list, k: int):
-    """Task function: the k nearest rows of its batches for each query of the block."""
-    ids = np.array([i for i, _ in block], dtype=np.int64)
-    matrix = np.array([q for _, q in block], dtype=np.float64)
-    width = matrix.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = np.empty((len(ids), 0))
-        best_i = np.empty((len(ids), 0), dtype=np.int64)
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            lists = batch.column(1)
-            good = pc.equal(pc.list_value_length(lists), width).fill_null(False)
-            keys = batch.column(0).filter(good).to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(keys):
-                continue
-            vectors = lists.filter(good).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
-            scores = np.round(matrix @ vectors.T, 9)
-            scores[ids[:, None] == keys[None, :]] = -np.inf
-            best_s, best_i = _merged(best_s, best_i, scores, keys, k)
-        yield _rows(ids, best_s, best_i, "similarity")
-
-    return run
+    return vectorindex.exact(queries, corpus, k, block)
 
 
 def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
@@ -118,21 +78,84 @@ def keyword_search(terms: DataFrame, index: DataFrame, k: int = CANDIDATES) -> D
 
 
 def keyword_top(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, stemmed: bool = False, block: int = 256) -> DataFrame:
-    """The k best rows of docs(id, text) for each of queries(query_id, text), scored as by ``keyword_search``, in one scan a block.
+    """The k best rows of docs(id, text) for each of queries(query_id, text), scored as by ``keyword_search``, in one scan.
 
-    The stated query set goes out in blocks of at most ``block`` queries and BLOCK_TERMS terms or one query. Each task
-    counts its texts' terms, adds their weights to the queries that hold them, and keeps the k best of each query, so
-    neither postings nor hits are shuffled. With ``stemmed`` both sides are compared by Porter stems. A null or empty
-    text, or a query of stop words only, has no hits; ties go to the lowest id.
+    Texts are packed in the scan, as the counts of their terms, and every block of queries meets every block of texts
+    (``blocks.meet``); each pair keeps the k best of each query, so neither postings nor hits are shuffled. With
+    ``stemmed`` both sides are compared by Porter stems. Rows of one id count as one text if they meet in a task, so ids
+    have to be unique. A null or empty text, or a query of stop words only, has no hits; ties go to the lowest id.
     """
     ship(docs.sparkSession)
-    found = None
-    for part in _term_blocks(queries, block, stemmed):
-        best = docs.select("id", "text").mapInArrow(_best_texts(part, k, stemmed), "query_id long, id long, score double")
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    return top_k(found, "query_id", F.desc("score"), "id", k)
+    asked = queries.select("query_id", "text").mapInArrow(_packed_queries(stemmed, block), "query_ids array<bigint>, asked array<array<string>>")
+    asked = Tables(docs.sparkSession).keep(asked, "queries")
+    blocks = docs.select("id", "text").mapInArrow(_packed_texts(stemmed), "ids array<bigint>, texts array<int>, terms array<string>, tfs array<bigint>")
+    pairs = meet(blocks, asked, "8L * size(query_ids) + 16L * size(flatten(asked))")
+    return top_k(pairs.mapInArrow(_best_texts(k), "query_id long, id long, score double"), "query_id", F.desc("score"), "id", k)
+
+
+def term_counts(stemmed: bool = False):
+    """Task function: (id, text) to each text's distinct terms and how often it has them: (term, id, tf)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems: dict[str, str] = {}
+        for batch in batches:
+            ids, terms, numbers = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key is not None and text:
+                    if len(stems) > 200_000:
+                        stems.clear()
+                    found = Counter(_words(text, stemmed, stems))
+                    ids += [key] * len(found)
+                    terms += found
+                    numbers += found.values()
+            columns = [pa.array(terms, type=pa.string()), pa.array(ids, type=pa.int64()), pa.array(numbers, type=pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "tf"])
+
+    return run
+
+
+def _packed_texts(stemmed: bool):
+    """Task function: (id, text) to blocks of texts: their ids, and of each distinct term of each text the text's place, the term and its count."""
+    count = term_counts(stemmed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            for found in count(iter([batch])):
+                if found.num_rows:
+                    ids, place = np.unique(found.column("id").to_numpy(), return_inverse=True)
+                    lists = [pa.array([ids]), pa.array([place.astype(np.int32)])]
+                    lists += [pa.ListArray.from_arrays(pa.array([0, found.num_rows], pa.int32()), found.column(c)) for c in ("term", "tf")]
+                    yield pa.RecordBatch.from_arrays(lists, names=["ids", "texts", "terms", "tfs"])
+
+    return run
+
+
+def _packed_queries(stemmed: bool, block: int):
+    """Task function: (query_id, text) to blocks of queries of at most ``block`` queries and BLOCK_TERMS terms, or one query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, list[str]]] = []
+        seen: set[str] = set()
+
+        def given() -> pa.RecordBatch:
+            lists = [pa.array([[q for q, _ in held]], pa.list_(pa.int64())), pa.array([[t for _, t in held]], pa.list_(pa.list_(pa.string())))]
+            return pa.RecordBatch.from_arrays(lists, names=["query_ids", "asked"])
+
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                plain = [w for w in _words(text, False, {}) if w not in STOP_WORDS]
+                terms = sorted({P.stem(w) for w in plain} if stemmed else set(plain))
+                if not terms:
+                    continue
+                if held and (len(held) == block or len(seen.union(terms)) > BLOCK_TERMS):
+                    yield given()
+                    held, seen = [], set()
+                held.append((key, terms))
+                seen.update(terms)
+        if held:
+            yield given()
+
+    return run
 
 
 def _words(text: str | None, stemmed: bool, stems: dict[str, str]) -> list[str]:
@@ -144,79 +167,49 @@ def _words(text: str | None, stemmed: bool, stems: dict[str, str]) -> list[str]:
     return [stems[w] for w in words]
 
 
-def _term_blocks(queries: DataFrame, block: int, stemmed: bool) -> Iterator[list[tuple[int, list[str]]]]:
-    held: list[tuple[int, list[str]]] = []
-    seen: set[str] = set()
-    for row in queries.select("query_id", "text").toLocalIterator():
-        plain = [w for w in _words(row[1], False, {}) if w not in STOP_WORDS]
-        terms = sorted({P.stem(w) for w in plain} if stemmed else set(plain))
-        if not terms:
-            continue
-        if held and (len(held) == block or len(seen.union(terms)) > BLOCK_TERMS):
-            yield held
-            held, seen = [], set()
-        held.append((row[0], terms))
-        seen.update(terms)
-    if held:
-        yield held
-
-
-def _best_texts(block: list[tuple[int, list[str]]], k: int, stemmed: bool):
-    """Task function: the k best rows of its batches for each query of the block."""
-    ids = np.array([q for q, _ in block], dtype=np.int64)
-    numbers: dict[str, int] = {}
-    for _, terms in block:
-        for term in terms:
-            numbers.setdefault(term, len(numbers))
-    pairs = sorted((numbers[t], q, 1.0 / len(terms)) for q, (_, terms) in enumerate(block) for t in terms)
-    term, query, share = (np.array(c) for c in zip(*pairs))
-    first = np.searchsorted(term, np.arange(len(numbers) + 1))
-
-    def scores_of(texts: list[str | None], stems: dict[str, str]) -> np.ndarray:
-        counted = [Counter(map(numbers.get, _words(t, stemmed, stems))) for t in texts]
-        rows = [(d, t, n) for d, c in enumerate(counted) for t, n in c.items() if t is not None]
-        if not rows:
-            return np.zeros((len(texts), len(ids)))
-        doc, held, tf = np.array(rows, dtype=np.int64).T
-        # The weight of a term that a text has tf times: 0.1 * sum(1/j^2, j <= tf) / ZETA2.
-        weight = 0.1 * np.cumsum(1.0 / np.arange(1, tf.max() + 1, dtype=np.float64) ** 2)[tf - 1] / ZETA2
-        number = first[held + 1] - first[held]
-        at = np.arange(number.sum()) + np.repeat(first[held] - (np.cumsum(number) - number), number)
-        cell = np.repeat(doc, number) * len(ids) + query[at]
-        return np.bincount(cell, weights=np.repeat(weight, number) * share[at], minlength=len(texts) * len(ids)).reshape(len(texts), -1)
+def _best_texts(k: int):
+    """Task function: the k best texts of a block for each query of a block, for each joined pair."""
+
+    def prepared(asked: list[list[str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+        numbers: dict[str, int] = {}
+        for terms in asked:
+            for term in terms:
+                numbers.setdefault(term, len(numbers))
+        pairs = sorted((numbers[t], q, 1.0 / len(terms)) for q, terms in enumerate(asked) for t in terms)
+        term, query, share = (np.array(c) for c in zip(*pairs, strict=True))
+        return numbers, query, share, np.searchsorted(term, np.arange(len(numbers) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stems: dict[str, str] = {}
-        best_s = np.empty((len(ids), 0))
-        best_i = np.empty((len(ids), 0), dtype=np.int64)
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            if len(stems) > 200_000:
-                stems.clear()
-            named = batch.filter(pc.is_valid(batch.column(0)))
-            keys = named.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            scores = np.round(scores_of(named.column(1).to_pylist(), stems), 9).T
-            scores[scores <= 0] = -np.inf
-            best_s, best_i = _merged(best_s, best_i, scores, keys, k)
-        yield _rows(ids, best_s, best_i, "score")
+        known: tuple[tuple, tuple] | None = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                array = lambda name: batch.column(batch.schema.get_field_index(name))[i].values  # noqa: B023, E731
+                ids, queries = array("ids").to_numpy(), array("query_ids").to_numpy()
+                name = (queries.tobytes(), len(queries))
+                if known is None or known[0] != name:
+                    known = name, prepared(array("asked").to_pylist())
+                numbers, query, share, first = known[1]
+                # A term is looked up once a block.
+                coded = array("terms").dictionary_encode()
+                place = np.array([numbers.get(t, -1) for t in coded.dictionary.to_pylist()], dtype=np.int64)[coded.indices.to_numpy()]
+                hit = np.flatnonzero(place >= 0)
+                if not len(hit):
+                    continue
+                held, doc, tf = place[hit], array("texts").to_numpy()[hit].astype(np.int64), array("tfs").to_numpy()[hit]
+                # The weight of a term that a text has tf times: 0.1 * sum(1/j^2, j <= tf) / ZETA2.
+                weight = 0.1 * np.cumsum(1.0 / np.arange(1, tf.max() + 1, dtype=np.float64) ** 2)[tf - 1] / ZETA2
+                number = first[held + 1] - first[held]
+                at = np.arange(number.sum()) + np.repeat(first[held] - (np.cumsum(number) - number), number)
+                cell = query[at] * len(ids) + np.repeat(doc, number)
+                scores = np.bincount(cell, weights=np.repeat(weight, number) * share[at], minlength=len(ids) * len(queries))
+                scores = np.round(scores, 9).reshape(len(queries), -1)
+                row, column = vectorindex.best_cells(np.where(scores > 0, scores, -np.inf), ids, k)
+                found = [pa.array(queries[row]), pa.array(ids[column]), pa.array(scores[row, column])]
+                yield pa.RecordBatch.from_arrays(found, names=["query_id", "id", "score"])
 
     return run
 
 
-def _merged(best_s: np.ndarray, best_i: np.ndarray, scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each query's row among those so far and new ones; ties go to the lowest id."""
-    all_s = np.concatenate([best_s, scores], axis=1)
-    all_i = np.concatenate([best_i, np.broadcast_to(keys, scores.shape)], axis=1)
-    order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-    return np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-
-
-def _rows(ids: np.ndarray, best_s: np.ndarray, best_i: np.ndarray, name: str) -> pa.RecordBatch:
-    q = np.repeat(ids, best_s.shape[1])
-    s, i = best_s.ravel(), best_i.ravel()
-    keep = np.isfinite(s)
-    return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(i[keep]), pa.array(s[keep])], names=["query_id", "id", name])
-
-
 def fuse(vector: DataFrame, keyword: DataFrame, k: int = 5, constant: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists: sum of 1 / (constant + rank), best k of each query."""
     v = vector.select("query_id", "id", F.col("rank").alias("vector_rank"), "similarity")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import vector as V
-from tessella.operators import answering, cache, retrieval
+from tessella.operators import answering, cache, keywordindex, retrieval, vectorindex
 from tessella.sources.files import spread, table
+from tessella.sources.scratch import Tables
 
 #: Queries are all rows whose id is divisible by this, against all rows.
 EVERY = 100
@@ -64,6 +65,40 @@ def keyword_index_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def knn_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same queries by an inverted-file index of all vectors: the cells nearest to each."""
+    index = vectorindex.VectorIndex.build(_vectors(spark, d), f"{Tables(spark).root}/vectors")
+    found = index.search(_vector_queries(spark, d), retrieval.CANDIDATES)
+    return found.select("query_id", "id", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+def knn_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the index's exact way: further cells, until the bounds rule out the rest."""
+    index = vectorindex.VectorIndex.build(_vectors(spark, d), f"{Tables(spark).root}/vectors")
+    found = index.search(_vector_queries(spark, d), retrieval.CANDIDATES, whole=True)
+    return found.select("query_id", "id", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+def _stored(spark: SparkSession, d: str, stemmed: bool) -> DataFrame:
+    """Keyword search over a stored index, whose segments hold the documents of even and of odd numbers."""
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    index = keywordindex.KeywordIndex(spark, f"{Tables(spark).root}/postings", stemmed)
+    for part in (0, 1):
+        index.append(docs.where(f"id % 2 = {part}"))
+    found = index.search(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def keyword_stored_search(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search over stored posting blocks; blocks that cannot reach the k-th score are not read."""
+    return _stored(spark, d, stemmed=False)
+
+
+def keyword_stemmed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same over an index of Porter stems."""
+    return _stored(spark, d, stemmed=True)
+
+
 def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Both lists of every benchmark item: by the vector of the same number, and by its words."""
     vectors = table(spark, d, "embeddings")
@@ -247,10 +282,12 @@ SELECT doc_id, len(facts)::BIGINT AS checked, len(missing)::BIGINT AS unsupporte
        CASE WHEN len(facts) = 0 THEN 'no_checkable_facts' WHEN len(missing) = 0 THEN 'all_facts_appear_in_citations' ELSE 'some_facts_not_found_in_citations' END AS verdict
 FROM m"""
 
-QUERIES = {f.__name__: f for f in (knn_topk, keyword_search_or, keyword_index_search, rrf_hybrid, rrf_by_union, vector_distance, cache_outcomes, cache_counters, cache_live, prompt_context, answer_decision, fact_support)}
+QUERIES = {f.__name__: f for f in (knn_topk, knn_index_topk, knn_index_exact, keyword_search_or, keyword_index_search, keyword_stored_search, keyword_stemmed_search, rrf_hybrid, rrf_by_union, vector_distance, cache_outcomes, cache_counters, cache_live, prompt_context, answer_decision, fact_support)}
 SQL = {
     "knn_topk": _KNN,
+    "knn_index_exact": _KNN,
     "keyword_search_or": _KEYWORD,
+    "keyword_stored_search": _KEYWORD,
     "rrf_hybrid": _RRF,
     "rrf_by_union": _RRF_UNION,
     "vector_distance": _DISTANCE,
