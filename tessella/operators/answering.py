@@ -32,7 +32,8 @@ def decide(questions: DataFrame) -> DataFrame:
 
     questions: query_id, hits array<struct<page, text, similarity>> in rank order, reply string. The reasons in
     order: no_results, below_similarity_gate, invalid_model_output, model_said_insufficient, no_valid_citations,
-    null (grounded). A reply is parsed only past the gate. Citations are ranks; those out of range are invalid.
+    null (grounded). A reply is parsed only past the gate. Citations are ranks; those out of range are invalid. An answer
+    without a valid citation is still given, though it is not grounded.
     """
     best = F.coalesce(F.array_max(F.transform("hits", lambda h: h["similarity"])), F.lit(-1.0))
     parsed = F.from_json(T.strip_fences("reply"), REPLY)
@@ -57,7 +58,7 @@ def decide(questions: DataFrame) -> DataFrame:
         "query_id",
         grounded.alias("grounded"),
         "reason",
-        F.when(grounded, F.col("parsed.answer")).alias("answer"),
+        F.when(grounded | (F.col("reason") == "no_valid_citations"), F.col("parsed.answer")).alias("answer"),
         "best_similarity",
         F.when(grounded, F.transform("valid", lambda n: F.get("hits", n - 1)["page"])).alias("cited_pages"),
         "invalid_citations",

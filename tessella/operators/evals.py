@@ -159,7 +159,11 @@ def agreement(human: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def dataset_problems(cases: DataFrame) -> DataFrame:
-    """Problems of a golden set, one row each: (id, problem)."""
+    """Problems of a golden set, one row each: (id, problem).
+
+    A case that expects an answer needs something to check, so empty lists count as none; one that expects a refusal must
+    not state pages or strings at all, not even in an empty list.
+    """
     has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     problems = F.array_compact(
         F.array(
@@ -167,7 +171,7 @@ def dataset_problems(cases: DataFrame) -> DataFrame:
             F.when(F.coalesce(F.col("question"), F.lit("")) == "", "missing question"),
             F.when(~F.coalesce(F.col("expect").isin("answer", "refuse"), F.lit(False)), "bad expect"),
             F.when((F.col("expect") == "answer") & ~has("expected_pages") & ~has("must_contain"), "answer without a check"),
-            F.when((F.col("expect") == "refuse") & has("must_contain"), "refuse with must_contain"),
+            F.when((F.col("expect") == "refuse") & (F.col("must_contain").isNotNull() | F.col("expected_pages").isNotNull()), "refuse with a check"),
         )
     )
     own = cases.select("id", F.explode(problems).alias("problem"))

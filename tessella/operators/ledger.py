@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import shared_folder
+
 #: List prices in USD per million tokens (input, output), and those of unlisted models.
 PRICES = (
     ("openai/gpt-oss-120b", 0.15, 0.6),
@@ -131,9 +133,7 @@ def span_tree(spans: DataFrame) -> DataFrame:
     takes log2(d) joins on (trace_id, span_id), whatever d is. A span whose parent is missing is a root. Spans that
     reach no root, as their parents form a cycle, are left out.
     """
-    context = spans.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spans.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    shared_folder(spans.sparkSession)
     ids = spans.select("trace_id", F.col("span_id").alias("up"))
     known = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("up")).join(
         ids.withColumn("there", F.lit(True)), ["trace_id", "up"], "left"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import cache
+from tessella.sources.scratch import Tables
 
 #: Largest request body in bytes, seconds between heartbeats, model steps of an agent run.
 BODY_BYTES = 1_000_000
@@ -32,6 +33,22 @@ def newest_first(docs: DataFrame, at: str = "created_at", key: str = "id") -> Da
     return docs.orderBy(F.col(at).desc_nulls_last(), key)
 
 
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows with their position (from 0) in an order of all of them.
+
+    Rows are sorted by ranges and written with their place in their partition; the partitions' sizes, one row each, add
+    up to where each begins. So no task sees more than its range.
+    """
+    tables = Tables(rows.sparkSession)
+    placed = tables.keep(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    met = placed.withColumn("_part", part).join(F.broadcast(begins), "_part")
+    return met.withColumn("position", F.col("_begin") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_begin", "_at")
+
+
 def of_document(rows: DataFrame, document: int | None = None, column: str = "document_id") -> DataFrame:
     """Rows of one document, or all where none is named. The filter reaches the scan."""
     return rows if document is None else rows.where(F.col(column) == document)

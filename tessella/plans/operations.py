@@ -263,18 +263,18 @@ def dataset_problems(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("n_chars") > 40, F.col("text")).alias("question"),
         expect.alias("expect"),
         F.when(F.col("n_chars") % 2 == 0, F.array(F.lit(1))).alias("expected_pages"),
-        F.when(F.col("n_chars") % 5 == 0, F.array(F.lit("x"))).alias("must_contain"),
+        F.when(F.col("n_chars") % 5 == 0, F.array(F.lit("x"))).when(F.col("n_chars") % 7 == 0, F.array().cast("array<string>")).alias("must_contain"),
     )
     return evals.dataset_problems(cases).groupBy("id", "problem").agg(F.count("*").alias("n"))
 
 
 _PROBLEMS = """
-WITH c AS (SELECT source AS id, n_chars > 40 AS q, CASE lang WHEN 'en' THEN 'answer' WHEN 'fr' THEN 'refuse' ELSE lang END AS e, n_chars % 2 = 0 AS p, n_chars % 5 = 0 AS m FROM documents)
+WITH c AS (SELECT source AS id, n_chars > 40 AS q, CASE lang WHEN 'en' THEN 'answer' WHEN 'fr' THEN 'refuse' ELSE lang END AS e, n_chars % 2 = 0 AS p, n_chars % 5 = 0 AS m, n_chars % 5 = 0 OR n_chars % 7 = 0 AS listed FROM documents)
 SELECT id, problem, count(*) AS n FROM (
   SELECT id, 'missing question' AS problem FROM c WHERE NOT q
   UNION ALL SELECT id, 'bad expect' FROM c WHERE e NOT IN ('answer', 'refuse')
   UNION ALL SELECT id, 'answer without a check' FROM c WHERE e = 'answer' AND NOT p AND NOT m
-  UNION ALL SELECT id, 'refuse with must_contain' FROM c WHERE e = 'refuse' AND m
+  UNION ALL SELECT id, 'refuse with a check' FROM c WHERE e = 'refuse' AND (p OR listed)
   UNION ALL SELECT id, 'duplicate id' FROM c WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1) GROUP BY ALL"""
 
 

@@ -255,7 +255,7 @@ r AS (
          list_distinct([item_id::VARCHAR, '31']) AS facts FROM q),
 m AS (SELECT *, list_filter(CASE WHEN item_id = 31 THEN ['31'] ELSE [item_id::VARCHAR, '31'] END, lambda f: NOT contains(cited, f)) AS missing FROM r)
 SELECT item_id AS query_id, reason IS NULL AS grounded, reason,
-       CASE WHEN reason IS NULL THEN 'grade ' || item_id || ' of 31' END AS answer,
+       CASE WHEN reason IS NULL THEN 'grade ' || item_id || ' of 31' WHEN reason = 'no_valid_citations' THEN 'it is 7' END AS answer,
        CASE WHEN kind = 0 OR n = 0 THEN -1.0 ELSE near END AS best_similarity,
        CASE WHEN reason IS NULL THEN item_id || ',' || (item_id + 1) END AS cited_pages,
        CASE WHEN reason IS NULL THEN '7' WHEN reason = 'no_valid_citations' THEN '9' ELSE '' END AS invalid_citations,

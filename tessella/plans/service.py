@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import python_text
 from tessella.functions import vector as V
 from tessella.operators import answering, cache, evals, service
+from tessella.session import ship
 from tessella.sources.files import table
 
 
@@ -37,7 +39,7 @@ r AS (
   SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'refuse' ELSE 'answer' END AS expect,
          CASE WHEN doc_id % 5 <> 0 THEN [doc_id % 7, doc_id % 7 + 1] END AS pages, [doc_id % 6, doc_id % 6 + 1, 9] AS got,
          CASE WHEN doc_id % 2 = 0 THEN [upper(left(text, 3)), '5'] ELSE [] END AS must, CASE WHEN doc_id % 3 = 1 THEN ['THE', 'zq'] ELSE [] END AS never,
-         lower(coalesce(text, '')) AS said, doc_id % 17 <> 0 AND doc_id % 3 <> 0 AS answered,
+         trim(regexp_replace(lower(translate(coalesce(text, ''), '‐‑‒–—―−‘’“”', '-------' || chr(39) || chr(39) || '""')), '\\s+', ' ', 'g')) AS said, doc_id % 17 <> 0 AND doc_id % 3 <> 0 AS answered,
          CASE WHEN doc_id % 10 = 0 THEN 'model_said_insufficient' END AS preferred, doc_id % 13 = 0 AS known,
          (doc_id % 1000 * 7)::BIGINT AS cost, (doc_id % 90)::BIGINT AS latency FROM documents),
 b AS (
@@ -55,7 +57,8 @@ s AS (SELECT *, len(failures) = 0 AS passed FROM f)"""
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return evals.score_cases(_results(spark, d), F.lower, lambda c: F.transform(c, F.lower))
+    ship(spark)
+    return evals.score_cases(_results(spark, d), python_text.normalise, python_text.normalise_all)
 
 
 def case_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -186,11 +189,12 @@ FROM events WHERE event_id % 9 <> 0 OR event_id % 7 <> 0 GROUP BY ALL"""
 
 
 def tools_available(spark: SparkSession, d: str) -> DataFrame:
-    tools = spark.createDataFrame(list(answering.TOOLS), "tool string, needs_approval boolean")
-    return service.available(tools, F.lit(" cancel_order, ,search_products"))
+    """Event types as tools: those that a list of names does not deny, and how often they were used."""
+    tools = table(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("used"))
+    return service.available(tools, F.lit(" error, ,view"))
 
 
-_AVAILABLE = "SELECT * FROM (VALUES ('get_current_time', false), ('get_order_status', false)) t(tool, needs_approval)"
+_AVAILABLE = "SELECT event_type AS tool, count(*) AS used FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY event_type"
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -293,12 +297,14 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def list_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The order shows as positions."""
-    ranked = service.newest_first(_files(spark, d).select("id", "filename", "created_at")).limit(50)
-    return ranked.agg(F.collect_list("id").alias("ids")).select(F.posexplode("ids").alias("position", "id")).select(F.col("position").cast("long").alias("position"), "id")
+    """All documents; the order shows as positions."""
+    files = _files(spark, d).select("id", "filename", "created_at")
+    return service.numbered(files, F.col("created_at").desc_nulls_last(), "id").select("position", "id", "filename")
 
 
-_LISTED = "SELECT row_number() OVER (ORDER BY doc_id % 50 DESC, doc_id) - 1 AS position, doc_id AS id FROM documents QUALIFY position < 50"
+_LISTED = """
+SELECT row_number() OVER (ORDER BY doc_id % 50 DESC, doc_id) - 1 AS position, doc_id AS id,
+       CASE WHEN doc_id % 3 = 0 THEN 'handbook-' ELSE 'book-' END || doc_id || '.pdf' AS filename FROM documents"""
 
 
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:

@@ -29,7 +29,8 @@ def sessions(tokens: DataFrame, gap: str = "20 seconds", late: str = "1 minute")
 def budget_gate(calls: DataFrame, limit_nano: int) -> DataFrame:
     """Whether each call of a stream (user_id, call_id, ts, nano_usd) is let through, in order of arrival.
 
-    State is one sum by user and day; a denied call adds nothing. State of a user goes 48 hours after the last call.
+    State is one sum by user and day, so calls of two days may come in any order; a denied call adds nothing. The state of
+    a day goes 48 hours after its last call.
     """
     ship(calls.sparkSession)
     out = "user_id string, call_id long, day date, nano_before long, allowed boolean"
@@ -38,35 +39,40 @@ def budget_gate(calls: DataFrame, limit_nano: int) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        day, spent = state.get if state.exists else ("", 0)
+        spent = state.get[0] if state.exists else 0
         rows = []
         for frame in frames:
             for call in frame.sort_values(["ts", "call_id"]).itertuples():
-                today = call.ts.strftime("%Y-%m-%d")
-                if today != day:
-                    day, spent = today, 0
                 allowed = spent < limit_nano
-                rows.append((key[0], call.call_id, call.ts.date(), spent, allowed))
+                rows.append((key[0], call.call_id, key[1], spent, allowed))
                 spent += call.nano_usd if allowed else 0
-        state.update((day, spent))
+        state.update((spent,))
         state.setTimeoutDuration(48 * 3600 * 1000)
         yield pd.DataFrame(rows, columns=["user_id", "call_id", "day", "nano_before", "allowed"])
 
-    return calls.groupBy("user_id").applyInPandasWithState(step, out, "day string, spent long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    by_day = calls.withColumn("day", F.to_date("ts")).groupBy("user_id", "day")
+    return by_day.applyInPandasWithState(step, out, "spent long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def frames(chunks: DataFrame) -> DataFrame:
-    """Complete frames of streams whose chunks (stream_id, seq, chunk) arrive over time; an open rest is kept as state."""
+def frames(chunks: DataFrame, forget_seconds: int = 600) -> DataFrame:
+    """Complete frames of streams whose chunks (stream_id, seq, chunk) arrive over time; an open rest is kept as state.
+
+    A stream that has sent nothing for ``forget_seconds`` is over: its rest, which no blank line ended, is no frame.
+    """
     ship(chunks.sparkSession)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rest = state.get[0] if state.exists else ""
         for part in parts:
             rest += "".join(part.sort_values("seq")["chunk"])
         *complete, rest = rest.split("\n\n")
         state.update((rest,))
+        state.setTimeoutDuration(forget_seconds * 1000)
         yield pd.DataFrame({"stream_id": [key[0]] * len(complete), "frame": complete})
 
     return chunks.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id string, frame string", "rest string", "append", GroupStateTimeout.NoTimeout
+        step, "stream_id string, frame string", "rest string", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
