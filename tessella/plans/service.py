@@ -9,7 +9,7 @@ from tessella.functions import python_text
 from tessella.functions import vector as V
 from tessella.operators import answering, cache, evals, service
 from tessella.session import ship
-from tessella.sources.files import table
+from tessella.sources.files import pdf_content, pdf_pages, spread, table
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -307,6 +307,21 @@ SELECT row_number() OVER (ORDER BY doc_id % 50 DESC, doc_id) - 1 AS position, do
        CASE WHEN doc_id % 3 = 0 THEN 'handbook-' ELSE 'book-' END || doc_id || '.pdf' AS filename FROM documents"""
 
 
+def pdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a PDF file, and its page texts as they are read back."""
+    files = pdf_content(spread(table(spark, d, "documents")), "doc_id", "text")
+    pages = pdf_pages(files)
+    return pages.select("document", F.col("page").cast("long").alias("page"), F.sha2("text", 256).alias("text_sha256"), "error")
+
+
+_PDF = r"""
+WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+SELECT doc_id || '.pdf' AS document, i // 40 + 1 AS page,
+       sha256(regexp_replace(string_agg(line, chr(10) ORDER BY i), '\n{2,}', chr(10), 'g')) AS text_sha256, NULL::VARCHAR AS error
+FROM l GROUP BY doc_id, i // 40"""
+
+
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:
     return service.resolve_names(_files(spark, d), {"handbook": ("handbook", True), "book": ("handbook", False), "absent": ("minutes", True)})
 
@@ -462,7 +477,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         case_scores, judge_groundedness, judge_override, case_diagnosis, judge_refusals, eval_totals, eval_report, tool_parameters, tool_results, tools_available,
-        cache_request, cache_store, cache_clear, cache_entries, request_pipeline, list_documents, resolve_names, document_filter, tag_filter, case_documents,
+        cache_request, cache_store, cache_clear, cache_entries, request_pipeline, list_documents, pdf_round_trip, resolve_names, document_filter, tag_filter, case_documents,
         average_size, document_search, traced_requests, costliest_runs, price_texts, time_texts, vector_rows, request_bodies, content_ids, stream_heartbeats,
         mock_stream, agent_runs,
     )
@@ -485,6 +500,7 @@ SQL = {
     "cache_entries": "SELECT doc_id AS entry_id, left(text, 120) AS answer FROM documents",
     "request_pipeline": _SERVED,
     "list_documents": _LISTED,
+    "pdf_round_trip": _PDF,
     "resolve_names": _RESOLVED,
     "document_filter": _FILTERED,
     "tag_filter": "SELECT doc_id AS id FROM documents WHERE list_contains([lang, source], 'en')",

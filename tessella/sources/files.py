@@ -6,10 +6,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import pdf
 from tessella.functions.text import safe_filename
+from tessella.operators import ingest
 from tessella.session import ship
 
 MOST_BYTES = 60 * 1024 * 1024
@@ -53,6 +56,58 @@ def parsed_pages(files: DataFrame, parse: Callable[[bytes], list[str]]) -> DataF
     return files.where("problem is null").select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
 
 
+def glyph_runs(files: DataFrame) -> DataFrame:
+    """Text runs of PDF files (path, content): (document, page, seq, str, y, has_eol, error), by the library's own reader.
+
+    Pages count from 1; a page without text has no rows. A file that cannot be read, also because a later page is
+    damaged, is one row with its error and page 0. Files are read in Arrow batches, one after the other.
+    """
+    ship(files.sparkSession)
+    names = ["document", "page", "seq", "str", "y", "has_eol", "error"]
+    types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    pages = pdf.runs_of(content.as_py() or b"")
+                    rows = [(path, n, i, text, y, False, None) for n, runs in enumerate(pages, 1) for i, (text, y) in enumerate(runs)]
+                except Exception as error:  # noqa: BLE001  one bad file must not fail the others
+                    rows = [(path, 0, 0, None, None, None, f"{type(error).__name__}: {error}")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
+
+    schema = "document string, page int, seq int, str string, y double, has_eol boolean, error string"
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """Page texts of PDF files (path, content[, problem]): (document, page, text, error); lines are put together by Spark.
+
+    A file with a problem, or one that cannot be read, is one row of page 0 with its error.
+    """
+    sound = files.where("problem is null") if "problem" in files.columns else files
+    runs = glyph_runs(sound)
+    lines = ingest.glyph_lines(runs.where("error is null")).withColumn("error", F.lit(None).cast("string"))
+    errors = runs.where("error is not null").select("document", "page", F.lit(None).cast("string").alias("text"), "error")
+    if "problem" in files.columns:
+        refused = files.where("problem is not null").select(F.col("path").alias("document"), F.lit(0).alias("page"), F.lit(None).cast("string").alias("text"), F.col("problem").alias("error"))
+        errors = errors.unionByName(refused)
+    return lines.unionByName(errors)
+
+
+def pdf_content(texts: DataFrame, key: str, text: str, lines: int = pdf.LINES) -> DataFrame:
+    """Each text as a PDF file: (path, content), pages of ``lines`` lines; the path is the key and ``.pdf``."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                content = pdf.write(pdf.paged(body.as_py(), lines))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name}.pdf"]), pa.array([content], type=pa.binary())], names=["path", "content"])
+
+    return texts.select(F.col(key).cast("string"), text).mapInArrow(run, "path string, content binary")
+
+
 def publish(tables: dict[str, DataFrame], root: str, version: str) -> str:
     """Write a set of tables as one version: readers follow the manifest, which is written last.
 
