@@ -10,6 +10,8 @@ from tessella.functions import vector as V
 from tessella.operators import answering, cache, evals, service
 from tessella.session import ship
 from tessella.sources.files import pdf_content, pdf_pages, spread, table
+from tessella.sources.scratch import Tables
+from tessella.sources.versions import Versions
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -307,6 +309,22 @@ SELECT row_number() OVER (ORDER BY doc_id % 50 DESC, doc_id) - 1 AS position, do
        CASE WHEN doc_id % 3 = 0 THEN 'handbook-' ELSE 'book-' END || doc_id || '.pdf' AS filename FROM documents"""
 
 
+def versioned_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and their lines, loaded in two commits; every seventh document then goes from both tables in a third."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "line"))
+    store = Versions(spark, f"{Tables(spark).root}/store", {"documents": "doc_id", "lines": "doc_id"})
+    for part in (0, 1):
+        store.load({"documents": docs.drop("text").where(f"doc_id % 2 = {part}"), "lines": lines.where(f"doc_id % 2 = {part}")})
+    store.delete(docs.where("doc_id % 7 = 0").select("doc_id"))
+    counts = store.read("lines").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return store.read("documents").join(counts, "doc_id", "full").select("doc_id", "source", "n_lines")
+
+
+_VERSIONED = """
+SELECT doc_id, source, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines FROM documents WHERE doc_id % 7 <> 0"""
+
+
 def pdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a PDF file, and its page texts as they are read back."""
     files = pdf_content(spread(table(spark, d, "documents")), "doc_id", "text")
@@ -477,7 +495,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         case_scores, judge_groundedness, judge_override, case_diagnosis, judge_refusals, eval_totals, eval_report, tool_parameters, tool_results, tools_available,
-        cache_request, cache_store, cache_clear, cache_entries, request_pipeline, list_documents, pdf_round_trip, resolve_names, document_filter, tag_filter, case_documents,
+        cache_request, cache_store, cache_clear, cache_entries, request_pipeline, list_documents, pdf_round_trip, versioned_delete, resolve_names, document_filter, tag_filter, case_documents,
         average_size, document_search, traced_requests, costliest_runs, price_texts, time_texts, vector_rows, request_bodies, content_ids, stream_heartbeats,
         mock_stream, agent_runs,
     )
@@ -501,6 +519,7 @@ SQL = {
     "request_pipeline": _SERVED,
     "list_documents": _LISTED,
     "pdf_round_trip": _PDF,
+    "versioned_delete": _VERSIONED,
     "resolve_names": _RESOLVED,
     "document_filter": _FILTERED,
     "tag_filter": "SELECT doc_id AS id FROM documents WHERE list_contains([lang, source], 'en')",
