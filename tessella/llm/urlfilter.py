@@ -45,6 +45,11 @@ def url_parts(url: str | Column) -> tuple[Column, Column]:
     return F.translate(part(1), _UPPER, _UPPER.lower()), part(2)
 
 
+def scored_text(url: str | Column) -> Column:
+    """What the models see: the whole URL after its scheme, with query and fragment; all of one without a scheme."""
+    return F.coalesce(F.regexp_replace(url, r"^[^:/?#]*://", ""), F.lit(""))
+
+
 def matched_rule(rules: list[Rule], host: Column, path: Column) -> Column:
     """struct(size, name, verdict) of the longest rule that fits, else null; equal lengths go by name."""
     fits = [
@@ -140,18 +145,19 @@ def threshold(scored: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """Verdict of every URL: the longest fitting rule's, else the models'.
 
-    Returns page_id, host, path, rule, verdict, score. A null URL has an empty host and path, no rule and score
-    0. Without URLs of both labels all ratios are 0 and the threshold is 0, so URLs without a rule are allowed.
+    Returns page_id, host, path, rule, verdict, score. The models see whole URLs (``scored_text``), so one without a
+    host is judged by its characters too. A null URL has an empty host and path, no rule and score 0. An empty table
+    gives no rows. Without URLs of both labels all ratios are 0 and the threshold is 0, so URLs without a rule are allowed.
     Repeated rows are judged alike; other columns are not read.
     """
     host, path = url_parts("url")
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    codes = grams(F.concat("host", "path"))
+    parts = pages.select("page_id", host.alias("host"), path.alias("path"), scored_text("url").alias("told"))
+    codes = grams(F.col("told"))
     ruled = parts.withColumn("hit", matched_rule(rules, F.col("host"), F.col("path")))
     labelled = ruled.where(F.col("hit").isNotNull()).select(
         (F.col("hit.verdict") == "allow").alias("accepted"),
         codes.alias("grams"),
-        (F.pmod(F.xxhash64("host", "path"), F.lit(CALIBRATE)) == 0).alias("held_out"),
+        (F.pmod(F.xxhash64("told"), F.lit(CALIBRATE)) == 0).alias("held_out"),
     )
     weights = log_ratios(labelled.where(~F.col("held_out"))).scalar()
     scored = labelled.where("held_out").withColumn("weights", weights)
