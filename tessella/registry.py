@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import operations, retrieval, service
+from tessella.plans import agents, operations, retrieval, service
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return retrieval.QUERIES | operations.QUERIES | service.QUERIES
+    return retrieval.QUERIES | operations.QUERIES | service.QUERIES | agents.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.SQL | operations.SQL | service.SQL
+    return retrieval.SQL | operations.SQL | service.SQL | agents.SQL
