@@ -39,14 +39,15 @@ def validator(name: str) -> Callable[[Column], Column]:
     return lambda arguments: answering.parameter_problems(F.lit(name), arguments)
 
 
-def _judged(calls: DataFrame, tools: Sequence[Tool]) -> DataFrame:
-    """Calls with outcome (that of a call which does not throw) and problems."""
-    of = lambda value, default: reduce(lambda found, t: F.when(F.col("tool") == t.name, value(t)).otherwise(found), tools, default)
-    known = F.coalesce(F.col("tool").isin(*[t.name for t in tools]), F.lit(False))
-    wrong = of(lambda t: t.problems(F.col("arguments")), F.lit(None).cast("array<string>"))
+def _judged(call: Column, tools: Sequence[Tool]) -> Column:
+    """A call with its outcome (that of a call which does not throw) and its wrong parameters."""
+    of = lambda value, default: reduce(lambda found, t: F.when(call["tool"] == t.name, value(t)).otherwise(found), tools, default)
+    known = F.coalesce(call["tool"].isin(*[t.name for t in tools]), F.lit(False))
+    wrong = of(lambda t: t.problems(call["arguments"]), F.lit(None).cast("array<string>"))
     approval = of(lambda t: F.lit(t.needs_approval), F.lit(False))
-    outcome = answering.tool_outcome(F.col("tool"), known, approval, F.col("arguments"), F.coalesce(F.size("problems") == 0, F.lit(False)), F.lit(False))
-    return calls.withColumn("problems", wrong).withColumn("outcome", outcome)
+    right = F.coalesce(F.size(wrong) == 0, F.lit(False))
+    outcome = answering.tool_outcome(call["tool"], known, approval, call["arguments"], right, F.lit(False))
+    return F.struct(call["call_id"].alias("call_id"), call["tool"].alias("tool"), call["arguments"].alias("arguments"), outcome.alias("outcome"), wrong.alias("problems"))
 
 
 def _answered(judged: DataFrame, tools: Sequence[Tool]) -> DataFrame:
@@ -79,7 +80,7 @@ def run(runs: DataFrame, model: Callable[[DataFrame], DataFrame], tools: Sequenc
     against the registry, the right ones run, and the results go back with the next round. A call that needs approval
     ends its run, and later calls of its reply are not reported; at ``most`` rounds what is open ends at the step limit.
 
-    Each round is a table in the shared folder, so lost executors cost one round's step, and plans stay short. A round
+    Replies and results of each round are tables in the shared folder: no reply is asked for twice, plans stay short. A round
     costs its model's calls, one join a tool, and one exchange of the calls by run; only open runs take part. A run's
     messages and the results of one reply are in one row: at most ``most`` replies. An empty table ends at once. A null
     run_id is no run and goes; a null user_id owns nothing, a null question is a message without content.
@@ -88,15 +89,14 @@ def run(runs: DataFrame, model: Callable[[DataFrame], DataFrame], tools: Sequenc
     none = lambda kind: F.array().cast(kind)
     asked = F.struct(F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(None).cast("string").alias("call_id"))
     start = runs.where("run_id is not null").withColumns({"tokens": F.lit(0).cast("long"), "messages": F.array(asked).cast(MESSAGES), "results": none(RESULTS)})
-    frontier, ended, events = tables.keep(start, "open_0"), [], []
+    frontier, ended, events = start, [], []
+    calls = F.transform(F.coalesce(F.col("calls").cast(CALLS), none(CALLS)), lambda c: _judged(c, tools))
     final = lambda df, outcome, text, i: df.select("run_id", F.lit(outcome).alias("outcome"), text.alias("text"), F.lit(i).cast("long").alias("iterations"), "tokens")
     for i in range(1, most + 1):
         reply = model(frontier.withColumn("iteration", F.lit(i)))
-        calls = F.coalesce(F.col("calls").cast(CALLS), none(CALLS))
         said = tables.keep(reply.withColumns({"tokens": F.col("tokens") + F.coalesce("used", F.lit(0)).cast("long"), "calls": calls}), f"replies_{i}")
         ended.append(final(said.where(F.size("calls") == 0), "answered", F.coalesce("text", F.lit("")), i))
-        made = said.where(F.size("calls") > 0).select("run_id", "user_id", F.posexplode("calls").alias("position", "call")).select("run_id", "user_id", "position", "call.*")
-        judged = tables.keep(_judged(made, tools), f"calls_{i}")
+        judged = said.where(F.size("calls") > 0).select("run_id", "user_id", F.posexplode("calls").alias("position", "call")).select("run_id", "user_id", "position", "call.*")
         results = F.array_sort(F.collect_list(F.struct("position", "call_id", "tool", "outcome", "content"))).cast(RESULTS)
         met = _answered(judged, tools).groupBy("run_id").agg(results.alias("results"))
         halt = F.filter("results", lambda r: r["outcome"] == "approval_required")
@@ -107,16 +107,14 @@ def run(runs: DataFrame, model: Callable[[DataFrame], DataFrame], tools: Sequenc
         shown = F.filter("results", lambda r: F.col("halt").isNull() | (r["position"] <= F.col("halt.position")))
         events.append(state.select("run_id", F.lit(i).cast("long").alias("iteration"), F.explode(shown).alias("r")).select("run_id", "iteration", "r.*"))
         message = lambda role, content, call: F.struct(F.lit(role).alias("role"), content.alias("content"), call.alias("call_id"))
-        own = F.array(message("assistant", F.coalesce("text", F.to_json("calls")), F.lit(None).cast("string"))).cast(MESSAGES)
+        own = F.array(message("assistant", F.coalesce("text", F.to_json(F.transform("calls", lambda c: F.struct(c["call_id"], c["tool"], c["arguments"])))), F.lit(None).cast("string"))).cast(MESSAGES)
         back = F.transform("results", lambda r: message("tool", r["content"], r["call_id"])).cast(MESSAGES)
         going = state.where("halt is null").withColumn("messages", F.concat("messages", own, back))
         frontier = going.select(frontier.columns)
-        if i == most:
-            ended.append(final(frontier, "step limit", F.lit(f"Stopped after {most} rounds without an answer."), i))
-        else:
-            frontier = tables.keep(frontier, f"open_{i}")
-            if frontier.isEmpty():
-                break
+        if going.isEmpty():
+            break
+    else:
+        ended.append(final(frontier, "step limit", F.lit(f"Stopped after {most} rounds without an answer."), most))
     return reduce(DataFrame.unionByName, ended), reduce(DataFrame.unionByName, events)
 
 
