@@ -1,4 +1,4 @@
-"""Queries on agent rounds over events, orders and parts, and on logs of event streams, with their SQL."""
+"""Queries on agent rounds over events, orders and parts, and on exported spans, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import agents
 from tessella.sources.files import table
+from tessella.sources.logs import exported
 
 _WORDS = ("bolt", "old ring", "zinc", "g")
 
@@ -82,6 +83,32 @@ SELECT n AS run_id, CASE ask WHEN 'view' THEN 'awaiting approval' WHEN 'error' T
 FROM x"""
 
 
-QUERIES = {f.__name__: f for f in (agent_rounds,)}
+def span_export(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as spans, each under the one before, written as OTLP JSON and read again."""
+    second = 1_000_000_000
+    own = lambda turn: F.substr(F.sha2(F.concat_ws(":", "conv_id", turn), 256), F.lit(1), F.lit(16))
+    spans = table(spark, d, "conversations").select(
+        F.substr(F.sha2(F.col("conv_id").cast("string"), 256), F.lit(1), F.lit(32)).alias("trace_id"),
+        own(F.col("turn")).alias("span_id"),
+        F.when(F.col("turn") > 0, own(F.col("turn") - 1)).alias("parent_span_id"),
+        F.concat(F.lit("turn "), F.coalesce("role", F.lit("unknown"))).alias("name"),
+        (F.col("turn") * second).alias("start_ns"),
+        (F.col("turn") * second + F.coalesce(F.length("text"), F.lit(0))).alias("end_ns"),
+        "text",
+        F.col("conv_id").cast("string").alias("conv"),
+    )
+    back = exported(spans, "chat", F.create_map(F.lit("conv_id"), F.col("conv"), F.lit("text"), F.col("text")))
+    text = F.col("attributes")["text"]
+    return back.select("service", "trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns", F.col("attributes")["conv_id"].alias("conv_id"), F.sha2(text, 256).alias("text_sha256"))
+
+
+_EXPORTED = """
+SELECT 'chat' AS service, left(sha256(conv_id::VARCHAR), 32) AS trace_id, left(sha256(conv_id || ':' || turn), 16) AS span_id,
+       CASE WHEN turn > 0 THEN left(sha256(conv_id || ':' || (turn - 1)), 16) END AS parent_span_id, 'turn ' || coalesce(role, 'unknown') AS name,
+       turn * 1000000000 AS start_ns, turn * 1000000000 + coalesce(length(text), 0) AS end_ns, conv_id::VARCHAR AS conv_id, sha256(text) AS text_sha256
+FROM conversations"""
+
+
+QUERIES = {f.__name__: f for f in (agent_rounds, span_export)}
 
-SQL = {"agent_rounds": _ROUNDS}
+SQL = {"agent_rounds": _ROUNDS, "span_export": _EXPORTED}
