@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.sources.scratch import Tables
 
 #: Thresholds of the sweep, and the gate's checks (name, bound, whether the bound is a maximum).
 THRESHOLDS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7)
@@ -102,21 +103,23 @@ def sweep_sets(swept: DataFrame) -> DataFrame:
     return swept.agg(pick(no_accept).alias("no_false_accept"), pick(no_refusal).alias("no_false_refusal"), pick(no_accept & no_refusal).alias("clean"))
 
 
-def interleaving(observations: DataFrame, buckets: int = 1000) -> DataFrame:
+def interleaving(observations: DataFrame) -> DataFrame:
     """For each refuse case, the number of answer cases of strictly lower similarity: (id, best_similarity, blocks).
 
-    Answers are counted by similarity bucket first; a refuse case adds the buckets below its own and the
-    answers of its own bucket that lie below it. So no pair of all cases is built.
+    Answers are counted by distinct similarity before anything moves. The distinct values are sorted by ranges and
+    written; each range adds up its own counts, and the ranges' sums, one row each, add up to where a range begins. A
+    refuse case then looks its value up. So no pair of cases is built, and neither a frequent value nor a dense interval
+    is one task. A case without similarity has none below it and is below none.
     """
-    placed = observations.withColumn("bucket", F.floor(F.col("best_similarity") * buckets))
-    counted = placed.groupBy("bucket").agg(F.count_if(F.col("expect") == "answer").alias("n"))
-    upward = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    below = counted.select("bucket", F.coalesce(F.sum("n").over(upward), F.lit(0)).alias("below"))
-    inside = Window.partitionBy("bucket").orderBy("best_similarity").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("bucket", "best_similarity")
-    answer = F.when(F.col("expect") == "answer", 1).otherwise(0)
-    ranked = placed.withColumn("own", F.sum(answer).over(inside) - F.sum(answer).over(same))
-    return ranked.where("expect = 'refuse'").join(below, "bucket").select("id", "best_similarity", (F.col("below") + F.col("own")).alias("blocks"))
+    counted = observations.where("best_similarity is not null").groupBy("best_similarity").agg(F.count_if(F.col("expect") == "answer").alias("n"))
+    placed = Tables(observations.sparkSession).keep(counted.orderBy("best_similarity").withColumn("part", F.spark_partition_id()), "values")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("begin"))
+    within = placed.withColumn("own", before(Window.partitionBy("part").orderBy("best_similarity")))
+    # One row a partition of the sort.
+    below = within.join(F.broadcast(begins), "part").select("best_similarity", (F.col("begin") + F.col("own")).alias("blocks"))
+    refused = observations.where("expect = 'refuse'").select("id", "best_similarity")
+    return refused.join(below, "best_similarity", "left").select("id", "best_similarity", F.coalesce("blocks", F.lit(0)).cast("long").alias("blocks"))
 
 
 def gate(measures: DataFrame, checks=GATE) -> DataFrame:

@@ -213,7 +213,7 @@ _SETS = f"""SELECT count(*) FILTER (WHERE false_accept = 0) AS no_false_accept,
 
 
 def interleaving(spark: SparkSession, d: str) -> DataFrame:
-    return evals.interleaving(_cases(spark, d), buckets=100)
+    return evals.interleaving(_cases(spark, d))
 
 
 _INTERLEAVING = f"""WITH {_CASES}

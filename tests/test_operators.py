@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,10 +103,60 @@ def test_gate(spark):
 def test_interleaving_counts_strictly_lower(spark):
     sims = [0.851, 0.806, 0.683, 0.6, 0.59, 0.58, 0.57, 0.56, 0.513]
     rows = [(i, "refuse" if s == 0.806 else "answer", s) for i, s in enumerate(sims)] + [(20, "answer", 0.806)]
-    got = evals.interleaving(spark.createDataFrame(rows, "id long, expect string, best_similarity double"), 7).first()
+    got = evals.interleaving(spark.createDataFrame(rows, "id long, expect string, best_similarity double")).first()
     assert got["blocks"] == 7
 
 
+def test_interleaving_equals_all_pairs(spark):
+    rng = random.Random(5)
+    sims = [None, -0.0, 0.0, 0.25, *(rng.random() for _ in range(40))]
+    rows = [(i, rng.choice(["refuse", "answer", None]), rng.choice(sims)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id long, expect string, best_similarity double")
+    got = {r["id"]: r["blocks"] for r in evals.interleaving(frame).collect()}
+    answers = [s for _, e, s in rows if e == "answer" and s is not None]
+    assert got == {i: sum(a < s for a in answers) if s is not None else 0 for i, e, s in rows if e == "refuse"}
+    assert evals.interleaving(frame.limit(0)).count() == 0
+    only = spark.createDataFrame([(1, "refuse", 0.5)], frame.schema)
+    assert [r["blocks"] for r in evals.interleaving(only).collect()] == [0]
+
+
+def plain_lookup(requests, entries, threshold):
+    """Every pair, one after another."""
+    out = {}
+    for rid, user, q, ids in requests:
+        own = [e for e in entries if (e[1] or "anon") == (user or "anon")]
+        near = []
+        for eid, _, v, eids in own:
+            score = round(sum(a * b for a, b in zip(q, v, strict=True)), 9) if q and v and len(q) == len(v) else None
+            if score is not None and score >= threshold:
+                near.append((ids == eids, score, -eid))
+        clean, vetoed = (max((n[1:] for n in near if n[0] is same), default=None) for same in (True, False))
+        reason = "hit" if clean else "empty" if not own else "identifier guard" if vetoed else "below threshold"
+        score, entry = clean or vetoed or (None, None)
+        out[rid] = (clean is not None, reason, None if entry is None else -entry, score, sum(not n[0] for n in near))
+    return out
+
+
+def test_cache_lookup_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    vector = lambda: rng.choice([None, [], [1.0], [float(rng.randint(-2, 2)) / 2 for _ in range(3)]] + [[float(rng.randint(-2, 2)) / 2 for _ in range(3)] for _ in range(6)])
+    ids = lambda: rng.choice([None, [], ["A-1"], ["A-1", "A-2"]])
+    user = lambda: rng.choice(["hot", "hot", "hot", "u", None, "anon", f"s{rng.randint(0, 50)}"])
+    requests = [(f"r{i}", user(), vector(), ids()) for i in range(80)]
+    entries = [(i, user(), vector(), ids()) for i in range(400)]
+    left = spark.createDataFrame(requests, "request_id string, user_id string, q array<double>, ids array<string>")
+    right = spark.createDataFrame(entries, "entry_id long, user_id string, v array<double>, entry_ids array<string>")
+    expected = plain_lookup(requests, entries, 0.5)
+    assert {x[1] for x in expected.values()} == {"hit", "empty", "identifier guard", "below threshold"}
+    for blocks in ((256, 1024, 16_384), (2, 3, 10)):
+        for name, size in zip(("REQUEST_BLOCK", "ENTRY_BLOCK", "HELD_ROWS"), blocks, strict=True):
+            monkeypatch.setattr(cache, name, size)
+        got = {r["request_id"]: tuple(r)[1:] for r in cache.lookup(left, right, 0.5).collect()}
+        assert got == expected
+    assert {r["reason"] for r in cache.lookup(left, right.limit(0), 0.5).collect()} == {"empty"}
+    assert cache.lookup(left.limit(0), right, 0.5).count() == 0
+
+
 def test_judge(spark):
     rows = [([(True,), (False,)],), ([],), (None,)]
     got = spark.createDataFrame(rows, "c array<struct<supported boolean>>").select(evals.judge_score(F.col("c")).alias("x")).collect()
