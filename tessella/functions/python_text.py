@@ -98,21 +98,22 @@ def overlap_tail(before: str, size: int) -> str:
 
 
 def chunk_page(text: str | None, target: int = 500, overlap: int = 100, least: int = 80) -> list[str]:
-    """Chunks of a page: split, join small ones, repeat tails; under 20 characters they go."""
-    if not (text or "").strip():
+    """Chunks of a page: split, join small ones, repeat tails; blanks at their ends and those under 20 characters go."""
+    page = (text or "").strip()
+    if not page:
         return []
-    bodies = merge_small(split_text(text, target), least)
+    bodies = merge_small(split_text(page, target), least)
     tails = [overlap_tail(b, overlap) if overlap > 0 else "" for b in bodies]
-    led = (f"{tail} {body}" if tail else body for tail, body in zip(["", *tails], bodies))
-    return [chunk for chunk in led if len(chunk.strip()) >= 20]
+    led = (f"{tail} {body}".strip() if tail else body.strip() for tail, body in zip(["", *tails], bodies))
+    return [chunk for chunk in led if len(chunk) >= 20]
 
 
 def chunker(target: int = 500, overlap: int = 100, least: int = 80):
-    """Arrow function from page texts to arrays of chunks."""
+    """Arrow function from arrays of page texts to arrays of each page's chunks."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk_page(t, target, overlap, least), na_action=None)
+    @F.pandas_udf(ArrayType(ArrayType(StringType())))
+    def chunks(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda pages: None if pages is None else [chunk_page(p, target, overlap, least) for p in pages])
 
     return chunks
 

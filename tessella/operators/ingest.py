@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.functions.python_text import chunker
+from tessella.functions.python_text import chunk_page, chunker
 from tessella.session import ship
+from tessella.sources.scratch import Tables
 
 HEADER_SHARE = 0.6
 HEADER_PAGES = 4
@@ -53,19 +57,67 @@ def by_checksum(files: DataFrame, key: str, text: str, existing: DataFrame | Non
     return summed if existing is None else summed.join(existing.select("checksum"), "checksum", "left_anti")
 
 
+def _estimated(chunked: DataFrame) -> DataFrame:
+    """With the usual estimate of tokens, one for four characters begun."""
+    return chunked.withColumn("token_estimate", F.ceil(F.length("text") / 4).cast("long"))
+
+
+def document_chunks(documents: DataFrame, target: int = 500, overlap: int = 100, least: int = 80) -> DataFrame:
+    """Chunks of documents(document, pages array<string>): (document, page, chunk_index, text, token_estimate).
+
+    Pages count from 1, chunks from 0 over all pages of their document; null and blank pages have none. A document is
+    one row, so nothing is shuffled.
+    """
+    ship(documents.sparkSession)
+    cut = documents.select("document", chunker(target, overlap, least)("pages").alias("parts"))
+    paged = F.transform("parts", lambda page, i: F.transform(page, lambda x: F.struct((i + 1).alias("page"), x.alias("text"))))
+    rows = cut.select("document", F.posexplode(F.flatten(paged)).alias("chunk_index", "chunk"))
+    return _estimated(rows.select("document", "chunk.page", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk.text"))
+
+
 def chunks(pages: DataFrame, target: int = 500, overlap: int = 100, least: int = 80) -> DataFrame:
-    """(document, page, chunk_index, text, token_estimate); the index runs over a document's pages."""
-    ship(pages.sparkSession)
-    parts = pages.withColumn("parts", chunker(target, overlap, least)("text"))
-    exploded = parts.select("document", "page", F.posexplode("parts").alias("pos", "chunk"))
-    order = Window.partitionBy("document").orderBy("page", "pos")
-    return exploded.select(
-        "document",
-        "page",
-        (F.row_number().over(order) - 1).cast("long").alias("chunk_index"),
-        F.col("chunk").alias("text"),
-        F.ceil(F.length("chunk") / 4).cast("long").alias("token_estimate"),
-    )
+    """Chunks of pages in rows (document, page, text): (document, page, chunk_index, text, token_estimate).
+
+    The index runs over a document's pages in their order; rows of one page go by the hash of their text. Pages are
+    sorted by ranges, so a document of very many pages is many tasks. Each numbers its chunks as it cuts them, and the
+    chunks are written; then the numbers of a document that an earlier range began start at what that range counted.
+    Pages move once and before they are cut; where a document is one row, ``document_chunks`` moves nothing.
+    """
+    spark = pages.sparkSession
+    ship(spark)
+    order = ["document", "page", F.xxhash64("text")]
+    sorted_pages = pages.select("document", "page", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    kind = lambda c: pages.schema[c].dataType.simpleString()
+    cut = sorted_pages.mapInArrow(_cut(target, overlap, least), f"document {kind('document')}, page {kind('page')}, at long, text string")
+    placed = Tables(spark).keep(cut.withColumn("part", F.spark_partition_id()), "chunks")
+    counted = placed.groupBy("document", "part").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("document").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # A range goes on with one document at most, its first, so these are fewer than the ranges.
+    begun = counted.select(F.col("document").alias("begun"), "part", earlier.alias("earlier")).where("earlier > 0")
+    met = placed.join(F.broadcast(begun), (placed["part"] == begun["part"]) & placed["document"].eqNullSafe(begun["begun"]), "left")
+    return _estimated(met.select("document", "page", (F.col("at") + F.coalesce("earlier", F.lit(0))).alias("chunk_index"), "text"))
+
+
+def _cut(target: int, overlap: int, least: int):
+    """Task function: pages (document, page, text) in order to chunks, numbered by document from the task's first page on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, at = object(), 0
+        for batch in batches:
+            rows, numbers, texts = [], [], []
+            for i, (own, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if own != document:
+                    document, at = own, 0
+                parts = chunk_page(text, target, overlap, least)
+                rows += [i] * len(parts)
+                numbers += range(at, at + len(parts))
+                texts += parts
+                at += len(parts)
+            own = batch.take(pa.array(rows, pa.int64()))
+            columns = [own.column(0), own.column(1), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["document", "page", "at", "text"])
+
+    return run
 
 
 def delete_cascade(parents: DataFrame, children: DataFrame, doomed: DataFrame, key: str, child_key: str) -> tuple[DataFrame, DataFrame]:

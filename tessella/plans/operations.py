@@ -346,8 +346,13 @@ def dedup_checksum(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every document, each taken as one page."""
-    pages = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("document"), F.lit(1).alias("page"), "text")
-    return ingest.chunks(pages)
+    return ingest.document_chunks(spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("document"), F.array("text").alias("pages")))
+
+
+def chunk_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every conversation, each turn a page: its digest, as texts are long."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("page"), "text")
+    return ingest.chunks(turns, 120, 30, 20).select("document", "page", "chunk_index", "token_estimate", F.sha2("text", 256).alias("text_sha256"))
 
 
 def document_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -584,7 +589,7 @@ QUERIES = {
     for f in (
         token_cost_ledger, usage_rollup, recent_calls, ledger_ring, budget_daily, budget_allow, span_tree, agent_run_totals, wrong_process, confusion_matrix,
         eval_two_views, threshold_sweep, sweep_sets, interleaving, gate_checks, gate_verdict, judge_agreement, dataset_problems, retrieval_metrics,
-        extraction_assessment, repeated_lines, strip_repeated_lines, dedup_checksum, chunk_documents, document_stats, delete_cascade, identifier_extract,
+        extraction_assessment, repeated_lines, strip_repeated_lines, dedup_checksum, chunk_documents, chunk_conversations, document_stats, delete_cascade, identifier_extract,
         redact_pii, capture_modes, clean_text, order_status_authz, product_search, tool_outcomes, ticket_validation, extract_repair, model_routing,
         routing_summary, idle_gaps, ttft, sse_roundtrip, retry_log,
     )
