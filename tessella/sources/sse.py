@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+from tessella.sources.scratch import Tables
+
 DONE = "[DONE]"
 IDLE_SECONDS = 20
 RETRY_STATUS = 500
@@ -21,25 +28,141 @@ def parse(chunks: DataFrame, joined: str = "\n") -> DataFrame:
     """(stream_id, position, event, data) from chunks (stream_id, seq, chunk) cut anywhere.
 
     Frames end at a blank line; comment lines and frames without data are skipped; nothing after [DONE] counts. Data
-    lines of one frame are joined by ``joined``. The chunks of one stream meet in one task, as the bytes of one response.
+    lines of one frame are joined by ``joined``. A null chunk is an empty one; chunks of one seq go by the hash of their text.
+
+    Chunks are sorted by ranges of (stream_id, seq), and each task cuts its range into frames as it reads, so a stream of
+    any length is many tasks and a task holds one open frame. What lies on either side of a range's end, two pieces at
+    most, is put together afterwards, and the frames of a stream that an earlier range began are numbered on from it.
     """
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "")
-    streams = chunks.groupBy("stream_id").agg(F.regexp_replace(body, "\r\n", "\n").alias("body"))
-    frames = streams.select("stream_id", F.posexplode(F.split("body", "\n\n")).alias("position", "raw"))
-    lines = F.split("raw", "\n")
-    value = lambda x, name: F.regexp_replace(x, f"^{name}: ?", "")
-    data = F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: value(x, "data"))
-    events = F.transform(F.filter(lines, lambda x: x.startswith("event:")), lambda x: value(x, "event"))
-    parsed = frames.select(
-        "stream_id",
-        F.col("position").cast("long").alias("position"),
-        F.coalesce(F.try_element_at(events, F.lit(-1)), F.lit("message")).alias("event"),
-        F.when(F.size(data) > 0, F.array_join(data, joined)).alias("data"),
-    ).where("data is not null")
-    ended = F.max(F.when(F.col("data") == DONE, 1).otherwise(0)).over(
-        Window.partitionBy("stream_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spark = chunks.sparkSession
+    ship(spark)
+    key = chunks.schema["stream_id"].dataType.simpleString()
+    order = ["stream_id", "seq", F.xxhash64("chunk")]
+    ranges = chunks.select("stream_id", "seq", F.coalesce("chunk", F.lit("")).alias("chunk")).repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = ranges.select("stream_id", "chunk").mapInArrow(_framed(joined), f"stream_id {key}, kind string, n long, event string, data string")
+    placed = Tables(spark).keep(cut.withColumn("part", F.spark_partition_id()), "frames")
+
+    # Pieces at the ends of ranges: of two streams a range at most. A group of pieces is closed by a head.
+    edges = placed.where("kind <> 'frame'").withColumn("late", F.col("kind") == "tail")
+    along = Window.partitionBy("stream_id").orderBy("part", "late")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    closed = F.coalesce(F.count_if(F.col("kind") == "head").over(earlier), F.lit(0))
+    pieces = F.array_sort(F.collect_list(F.struct("part", "late", "data")))
+    groups = edges.withColumn("closed", closed).groupBy("stream_id", "closed").agg(
+        F.array_join(F.transform(pieces, lambda x: x["data"]), "").alias("body"),
+        F.max(F.when(F.col("kind") == "head", F.col("part"))).alias("part"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("before"),
     )
-    return parsed.withColumn("ended", ended).where("ended = 0").drop("ended")
+    groups = groups.withColumn("raw", F.split(F.replace("body", F.lit("\r\n"), F.lit("\n")), "\n\n"))
+    grown = Window.partitionBy("stream_id").orderBy("closed")
+    so_far = F.coalesce(F.sum(F.size("raw")).over(grown.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.withColumn("begin", F.sum("before").over(grown) + so_far)
+    stitched = groups.select("stream_id", "begin", F.posexplode("raw").alias("i", "frame")).select(
+        "stream_id", (F.col("begin") + F.col("i")).alias("position"), _fields_of(joined)("frame").alias("f")
+    ).select("stream_id", "position", "f.event", "f.data")
+
+    # One row a range: where the numbers of its first stream begin.
+    begins = groups.where("part is not null").select(F.col("stream_id").alias("of"), "part", (F.col("begin") + F.size("raw")).alias("begin"))
+    whole = placed.where("kind = 'frame'").join(
+        F.broadcast(begins), (placed["part"] == begins["part"]) & placed["stream_id"].eqNullSafe(begins["of"]), "left"
+    ).select("stream_id", (F.col("n") + F.coalesce("begin", F.lit(0))).alias("position"), "event", "data")
+    found = whole.unionByName(stitched).where("data is not null")
+
+    # A task drops what follows [DONE]; only streams over range ends, two a range, may go on elsewhere.
+    cross = edges.select(F.col("stream_id").alias("of")).distinct()
+    done = found.where(F.col("data") == DONE).join(F.broadcast(cross), F.col("stream_id").eqNullSafe(F.col("of")), "left_semi")
+    ends = done.groupBy(F.col("stream_id").alias("of")).agg(F.min("position").alias("end"))
+    kept = found.where(F.col("data") != DONE).join(F.broadcast(ends), F.col("stream_id").eqNullSafe(F.col("of")), "left")
+    return kept.where("end is null or position < end").select("stream_id", "position", "event", "data")
+
+
+def _fields(raw: str, joined: str) -> tuple[str, str | None]:
+    """The event and the data of a frame; no data is null."""
+    value = lambda line, name: line[len(name) :].removeprefix(" ")
+    lines = raw.split("\n")
+    data = [value(x, "data:") for x in lines if x.startswith("data:")]
+    events = [value(x, "event:") for x in lines if x.startswith("event:")]
+    return (events[-1] if events else "message"), (joined.join(data) if data else None)
+
+
+def _fields_of(joined: str):
+    @F.pandas_udf("event string, data string")
+    def fields(frames: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_fields(x, joined) for x in frames], columns=["event", "data"], dtype=object)
+
+    return fields
+
+
+def _framed(joined: str):
+    """Task function: chunks (stream_id, chunk) in order to frames, with their number in the task's part of the stream.
+
+    The task's first stream may have begun earlier. Up to its first blank line after other text it is a ``head``, as
+    nothing before can change that the frame ends there; without such a line it is a ``middle``. What the task's last
+    stream, or the first, leaves after its last blank line is a ``tail``, with the number of frames before it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        stream, rest, n, first, headed, ended = None, None, 0, True, True, False
+
+        def frame(raw: str) -> None:
+            nonlocal n, ended
+            if not ended:
+                event, data = _fields(raw, joined)
+                out.append((stream, "frame", n, event, data))
+                ended = data == DONE
+            n += 1
+
+        def read(text: str) -> None:
+            nonlocal rest, headed
+            # A carriage return at the end may belong to a line feed that is still to come.
+            rest = (rest + text).replace("\r\n", "\n")
+            if not headed:
+                at = rest.find("\n\n", len(rest) - len(rest.lstrip("\n")))
+                if at < 0:
+                    return
+                out.append((stream, "head", None, None, rest[:at]))
+                rest, headed = rest[at + 2 :], True
+            *complete, rest = rest.split("\n\n")
+            for raw in complete:
+                frame(raw)
+
+        def close(last: bool) -> None:
+            nonlocal first
+            if not headed:
+                out.append((stream, "middle", None, None, rest))
+            elif first or last:
+                out.append((stream, "tail", n, None, rest))
+            else:
+                frame(rest)
+            first = False
+
+        for batch in batches:
+            streams, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = 0
+            for i in range(1, len(streams) + 1):
+                if i < len(streams) and streams[i] == streams[at]:
+                    continue
+                if rest is None or streams[at] != stream:
+                    if rest is not None:
+                        close(False)
+                    stream, rest, n, headed, ended = streams[at], "", 0, not first, False
+                read("".join(texts[at:i]))
+                at = i
+            yield from rows_of(out, batch.schema.field(0).type)
+            key = batch.schema.field(0).type
+        if rest is not None:
+            close(True)
+            yield from rows_of(out, key)
+
+    def rows_of(out: list[tuple], key: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if out:
+            types = (key, pa.string(), pa.int64(), pa.string(), pa.string())
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), types, strict=True)]
+            out.clear()
+            yield pa.RecordBatch.from_arrays(columns, names=["stream_id", "kind", "n", "event", "data"])
+
+    return run
 
 
 def latency(tokens: DataFrame) -> DataFrame:
