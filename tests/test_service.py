@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessella.functions import python_text as P
@@ -99,3 +100,16 @@ def test_keyword_blocks_stems_and_odd_texts(spark):
     stemmed = rows(stemmed=True)
     assert {(q, i) for q, _, i, _ in stemmed} == {(10, 2), (10, 6), (13, 1), (13, 5), (14, 2), (14, 6)}
     assert retrieval.keyword_top(queries.limit(0), docs).count() == 0
+
+
+def test_cases_on_letters_of_long_upper_case_give_the_sql(spark, tmp_path):
+    from tessella.plans import service as plans
+
+    texts = ["aß 5", "straße 5", "ẞxy 5", "Éß", None, "ﬁn 5", "ohne"]
+    spark.createDataFrame([(i * 2, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("case_scores", "judge_override", "eval_totals", "eval_report"):
+        got = plans.QUERIES[name](spark, str(tmp_path))
+        expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.SQL[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected)), name

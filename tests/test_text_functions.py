@@ -109,3 +109,9 @@ def test_chunks_of_a_page_by_value():
     assert P.split_text("x" * 10, 4) == ["xxxx", "xxxx", "xx"] and P.split_text("", 4) == [""]
     page = "First point here. Second point here.\nThird line of the page, which is long."
     assert P.chunk_page(page, 40, 12, 5) == ["First point here. Second point here.", "point here. Third line of the page, which is long."]
+
+
+def test_upper_case_letter_by_letter(spark):
+    given = ["chß", "éa5", "ﬁx", "ᾳŉ", "", None, "a😀b"]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", T.upper_each("t").alias("u")).collect()
+    assert [r["u"] for r in sorted(rows, key=lambda r: r["i"])] == ["CHẞ", "ÉA5", "ﬁX", "ᾼŉ", "", None, "A😀B"]
