@@ -97,21 +97,28 @@ def ticket_problems(raw: Column) -> Column:
     Unknown fields are dropped. A missing field, a wrong type and a bad value are problems of that field; orderId may
     be null but not missing.
     """
-    v = F.try_parse_json(T.json_payload(raw))
-    of = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    return T.bound(F.try_parse_json(T.json_payload(raw)), lambda v: F.when(v.isNull(), F.array(F.lit("invalid JSON"))).otherwise(_field_problems(v)))
+
+
+def checked_tickets(attempts: DataFrame) -> DataFrame:
+    """``attempts`` (raw, ...) with ``problems``, as by ``ticket_problems``: replies are parsed in a step of their own, so in compiled code."""
+    parsed = attempts.withColumn("_ticket", F.try_parse_json(T.json_payload("raw")))
+    return parsed.withColumn("problems", F.when(F.col("_ticket").isNull(), F.array(F.lit("invalid JSON"))).otherwise(_field_problems(F.col("_ticket")))).drop("_ticket")
+
+
+def _field_problems(v: Column) -> Column:
+    of = lambda name: F.try_variant_get(v, f"$.{name}", "string")
     kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
     is_text = lambda name: F.coalesce(kind(name) == "STRING", F.lit(False))
-    summary = of("summary", "string")
     good = (
-        ("priority", is_text("priority") & of("priority", "string").isin(*PRIORITIES)),
-        ("category", is_text("category") & of("category", "string").isin(*CATEGORIES)),
-        ("summary", is_text("summary") & F.length(summary).between(5, 200)),
-        ("sentiment", is_text("sentiment") & of("sentiment", "string").isin(*SENTIMENTS)),
-        ("orderId", (kind("orderId") == "VOID") | is_text("orderId") & of("orderId", "string").rlike(ORDER_ID)),
+        ("priority", is_text("priority") & of("priority").isin(*PRIORITIES)),
+        ("category", is_text("category") & of("category").isin(*CATEGORIES)),
+        ("summary", is_text("summary") & F.length(of("summary")).between(5, 200)),
+        ("sentiment", is_text("sentiment") & of("sentiment").isin(*SENTIMENTS)),
+        ("orderId", (kind("orderId") == "VOID") | is_text("orderId") & of("orderId").rlike(ORDER_ID)),
         ("requiresHumanReview", kind("requiresHumanReview") == "BOOLEAN"),
     )
-    fields = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in good]))
-    return F.when(v.isNull(), F.array(F.lit("invalid JSON"))).otherwise(fields)
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in good]))
 
 
 def first_valid(attempts: DataFrame, most: int = 3) -> DataFrame:
@@ -119,7 +126,7 @@ def first_valid(attempts: DataFrame, most: int = 3) -> DataFrame:
 
     The first of at most ``most`` attempts without problems wins; later ones would not have been made.
     """
-    checked = attempts.where(F.col("attempt") <= most).withColumn("problems", ticket_problems(F.col("raw")))
+    checked = checked_tickets(attempts.where(F.col("attempt") <= most))
     clean = F.min(F.when(F.size("problems") == 0, F.struct("attempt", "raw")))
     summed = checked.groupBy("email_id").agg(clean.alias("clean"), F.max("attempt").alias("made"), F.max_by("problems", "attempt").alias("last_problems"))
     return summed.select(

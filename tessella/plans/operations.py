@@ -465,7 +465,7 @@ SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN
 
 def _tickets(spark: SparkSession, d: str) -> DataFrame:
     """Events as extraction attempts: three attempts an e-mail, of which some break a field each."""
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events").select("event_id"))
     n = F.col("event_id")
     text = lambda s: F.lit(s)
     priority = F.when(n % 5 == 0, "asap").otherwise("high")
@@ -478,8 +478,7 @@ def _tickets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ticket_validation(spark: SparkSession, d: str) -> DataFrame:
-    found = answering.ticket_problems(F.col("raw"))
-    return _tickets(spark, d).select("event_id", F.array_join(found, ",").alias("problems"))
+    return answering.checked_tickets(_tickets(spark, d)).select("event_id", F.array_join("problems", ",").alias("problems"))
 
 
 _TICKET = """

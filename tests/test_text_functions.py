@@ -115,3 +115,13 @@ def test_upper_case_letter_by_letter(spark):
     given = ["chß", "éa5", "ﬁx", "ᾳŉ", "", None, "a😀b"]
     rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", T.upper_each("t").alias("u")).collect()
     assert [r["u"] for r in sorted(rows, key=lambda r: r["i"])] == ["CHẞ", "ÉA5", "ﬁX", "ᾼŉ", "", None, "A😀B"]
+
+
+def test_a_bound_value_is_in_the_plan_once(spark):
+    from tessella.operators import answering
+
+    df = spark.createDataFrame([('{"priority": "low"}',), ("no",), (None,)], "t string")
+    found = df.select("t", answering.ticket_problems(F.col("t")).alias("p"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") + found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
+    rows = {r["t"]: r["p"] for r in found.collect()}
+    assert rows == {'{"priority": "low"}': ["category", "summary", "sentiment", "orderId", "requiresHumanReview"], "no": ["invalid JSON"], None: ["invalid JSON"]}
