@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import text as T
 from tessella.operators import answering
 from tessella.operators.service import MOST_STEPS
 from tessella.sources.scratch import Tables
@@ -45,9 +46,10 @@ def _judged(call: Column, tools: Sequence[Tool]) -> Column:
     known = F.coalesce(call["tool"].isin(*[t.name for t in tools]), F.lit(False))
     wrong = of(lambda t: t.problems(call["arguments"]), F.lit(None).cast("array<string>"))
     approval = of(lambda t: F.lit(t.needs_approval), F.lit(False))
-    right = F.coalesce(F.size(wrong) == 0, F.lit(False))
-    outcome = answering.tool_outcome(call["tool"], known, approval, call["arguments"], right, F.lit(False))
-    return F.struct(call["call_id"].alias("call_id"), call["tool"].alias("tool"), call["arguments"].alias("arguments"), outcome.alias("outcome"), wrong.alias("problems"))
+    own = [call[c].alias(c) for c in ("call_id", "tool", "arguments")]
+    right = lambda problems: F.coalesce(F.size(problems) == 0, F.lit(False))
+    outcome = lambda problems: answering.tool_outcome(call["tool"], known, approval, call["arguments"], right(problems), F.lit(False))
+    return T.bound(wrong, lambda problems: F.struct(*own, outcome(problems).alias("outcome"), problems.alias("problems")))
 
 
 def _answered(judged: DataFrame, tools: Sequence[Tool]) -> DataFrame:
@@ -134,14 +136,19 @@ def order_status(orders: DataFrame) -> Tool:
 
 #: Characters of the pieces by which searched words and names meet.
 GRAM = 3
+#: Distinct searches of a round, each of at most answering.LONGEST_QUERY characters, that are sent to every task.
+FEW = 10_000
 
 
-def product_search(products: DataFrame) -> Tool:
+def product_search(products: DataFrame, few: int = FEW) -> Tool:
     """Products (name, price) whose name holds the query as plain text, at or under a cap: how many, and the cheapest.
 
     Words and names meet on pieces of up to three characters: a query on its first piece, a name on all of its own; the
     match itself is checked after. A query is searched once, however often it is asked. The result is bounded, as
     a catalogue of any size must not go into one message; ties in price go to the first name.
+
+    Up to ``few`` distinct searches go to the names, whose pieces then do not move; more of them meet by an exchange. The
+    pieces are many times the size that Spark expects of them, so they are never what is sent to every task.
     """
     pieces = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - size + 1, F.lit(1))), lambda i: F.substr("name", i, F.lit(size)))
 
@@ -151,9 +158,10 @@ def product_search(products: DataFrame) -> Tool:
         wanted = asked.select("word", "cap").distinct().withColumn("gram", F.left("word", F.lit(GRAM)))
         named = products.select(F.lower("name").alias("name"), "price")
         listed = named.select("name", "price", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in range(1, GRAM + 1)]))).alias("gram"))
-        hits = wanted.join(listed, "gram").where(F.contains("name", F.col("word")) & (F.col("price") <= F.col("cap")))
+        sent = wanted.limit(few + 1).count() <= few
+        hits = (F.broadcast(wanted).join(listed, "gram") if sent else wanted.join(listed.hint("merge"), "gram")).where(F.contains("name", F.col("word")) & (F.col("price") <= F.col("cap")))
         found = hits.groupBy("word", "cap").agg(F.count("*").alias("n"), F.min(F.struct("price", "name")).alias("least"))
-        joined = asked.join(found, ["word", "cap"], "left")
+        joined = asked.join(F.broadcast(found) if sent else found, ["word", "cap"], "left")
         some = F.to_json(F.struct(F.col("n").alias("matches"), F.col("least.name").alias("cheapest")))
         content = F.when(F.col("n").isNotNull(), some).otherwise('{"matches":0,"note":"No matching products."}')
         return joined.withColumn("content", content).withColumn("error", F.lit(None).cast("string")).drop("word", "cap", "n", "least")

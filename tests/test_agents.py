@@ -113,3 +113,19 @@ def test_the_model_hears_every_message(spark, tools):
 def test_no_runs(spark, tools):
     ended, events = agents.run(spark.createDataFrame([], RUNS), replies, tools)
     assert ended.count() == events.count() == 0
+
+
+def test_pieces_of_names_are_not_what_is_broadcast(spark, tmp_path):
+    spark.createDataFrame(PARTS, "name string, price double").write.parquet(str(tmp_path / "parts"))
+    parts = spark.read.parquet(str(tmp_path / "parts"))
+    words = ["bolt", "b", "none", "bolt"]
+    calls = spark.createDataFrame([(i, 1, 0, "c", "search_products", json.dumps({"query": w})) for i, w in enumerate(words)],
+                                  "run_id long, user_id long, position int, call_id string, tool string, arguments string")
+    found = {}
+    for few in (10, 1):
+        ran = agents.product_search(parts, few).execute(calls)
+        joins = [line for line in ran._jdf.queryExecution().executedPlan().toString().splitlines() if "[gram#" in line and "Join" in line]
+        assert joins and not any("BuildRight" in line for line in joins), joins
+        found[few] = {r["run_id"]: r["content"] for r in ran.collect()}
+    assert found[10] == found[1]
+    assert found[10][0] == found[10][3] == '{"matches":3,"cheapest":"new bolt"}' and found[10][2] == '{"matches":0,"note":"No matching products."}'
