@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -30,39 +32,56 @@ MARGIN = 1e-8
 _BLOCK = "term string, part int, most double, ids array<bigint>, weights array<double>"
 
 
-def _posting_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings (term, part, id, weight) in order to blocks of one term and part."""
-    rows: list[tuple] = []
-    name, ids, weights = None, [], []
+#: Postings of a block at most: a range may hold more documents than the average.
+BLOCK_POSTINGS = 4 * RANGE_DOCS
+_NAMES = ["term", "part", "most", "ids", "weights"]
 
-    def flush() -> None:
-        if ids:
-            rows.append((*name, max(weights), list(ids), list(weights)))
-            ids.clear(), weights.clear()
 
-    def given() -> pa.RecordBatch:
-        types = (pa.string(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-        columns = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)]
-        rows.clear()
-        return pa.RecordBatch.from_arrays(columns, names=["term", "part", "most", "ids", "weights"])
+def _posting_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts (term, part, id, tf) in order to blocks of one term and part; counts of one term and id are added up.
 
+    The last term and part of a batch may go on in the next one, so its rows wait for that: those of one range.
+    """
+    held: pa.Table | None = None
     for batch in batches:
-        for term, part, key, weight in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if name != (term, part) or len(ids) >= 4 * RANGE_DOCS:
-                flush()
-                name = (term, part)
-            ids.append(key)
-            weights.append(weight)
-        if len(rows) >= 1_000:
-            yield given()
-    flush()
-    if rows:
-        yield given()
-
-
-def weight_of(tf: Column) -> Column:
-    """A posting's weight: 0.1 * sum(1/j^2, j <= tf) / ZETA2."""
-    return 0.1 * F.aggregate(F.sequence(F.lit(1), tf.cast("int")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j)) / retrieval.ZETA2
+        if not batch.num_rows:
+            continue
+        given = pa.Table.from_batches([batch])
+        held = given if held is None else pa.concat_tables([held, given])
+        starts = _starts(held, ("term", "part"))
+        if len(starts) > 1:
+            yield _blocks(held.slice(0, starts[-1]))
+            held = held.slice(starts[-1])
+    if held is not None:
+        yield _blocks(held)
+
+
+def _starts(rows: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    """Rows that differ from the row before in any of the columns."""
+    changed = np.zeros(rows.num_rows, dtype=bool)
+    changed[:1] = True
+    for name in names:
+        column = rows.column(name).combine_chunks()
+        changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changed)
+
+
+def _blocks(rows: pa.Table) -> pa.RecordBatch:
+    """Whole terms and parts as blocks of at most BLOCK_POSTINGS postings."""
+    firsts = _starts(rows, ("term", "part", "id"))
+    tf = np.add.reduceat(rows.column("tf").to_numpy(), firsts)
+    kept = rows.take(pa.array(firsts))
+    groups = _starts(kept, ("term", "part"))
+    sizes = np.diff(np.append(groups, len(firsts)))
+    place = np.arange(len(firsts)) - np.repeat(groups, sizes)
+    begins = np.flatnonzero(place % BLOCK_POSTINGS == 0)
+    # The weight of a posting: 0.1 * sum(1/j^2, j <= tf) / ZETA2.
+    weights = 0.1 * np.cumsum(1.0 / np.arange(1, tf.max() + 1, dtype=np.float64) ** 2)[tf - 1] / retrieval.ZETA2
+    offsets = pa.array(np.append(begins, len(firsts)).astype(np.int32))
+    heads = kept.take(pa.array(begins))
+    lists = [pa.ListArray.from_arrays(offsets, v) for v in (kept.column("id").combine_chunks(), pa.array(weights))]
+    columns = [heads.column("term").combine_chunks(), heads.column("part").combine_chunks(), pa.array(np.maximum.reduceat(weights, begins)), *lists]
+    return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
 class KeywordIndex:
@@ -89,14 +108,13 @@ class KeywordIndex:
         """Index the rows of ``docs`` as a new segment: ids that are not in the index yet.
 
         Rows of one id are one document. Rows without an id, and texts without a term, are not found by any query.
-        Terms are counted in the scan and summed by (term, id), then moved once, in order of term and range.
+        Terms are counted in the scan and moved once, to their term and range, in order; there the counts of one id are
+        added up and weighed, so no count is moved twice.
         """
         counted = docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(retrieval.term_counts(self.stemmed), "term string, id long, tf long")
         parts = max(1, -(-docs.count() // RANGE_DOCS))
-        weighed = counted.groupBy("term", "id").agg(F.sum("tf").alias("tf")).select(
-            "term", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", weight_of(F.col("tf")).alias("weight")
-        )
-        dealt = weighed.repartitionByRange("term", "part", "id").sortWithinPartitions("term", "part", "id")
+        placed = counted.select("term", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "tf")
+        dealt = placed.repartition("term", "part").sortWithinPartitions("term", "part", "id")
         blocks = dealt.mapInArrow(_posting_blocks, _BLOCK)
         blocks.write.mode("errorifexists").parquet(f"{self.path}/segment={self._next()}")
 

@@ -149,3 +149,16 @@ def test_many_keyword_queries_are_dealt_to_shares(spark, monkeypatch):
     want = scored(retrieval.keyword_top(queries, docs, 4))
     monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
     assert scored(retrieval.keyword_top(queries, docs, 4, block=7)) == want
+
+
+def test_posting_blocks_add_up_counts_of_one_id_across_batches():
+    import pyarrow as pa
+
+    from tessella.operators import keywordindex, retrieval
+
+    rows = [("a", 0, 1, 1), ("a", 0, 1, 1), ("a", 0, 2, 3), ("a", 1, 9, 1), *[("b", 0, i, 1) for i in range(keywordindex.BLOCK_POSTINGS + 1)]]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("term", "part", "id", "tf"), r))], schema=pa.schema({"term": pa.string(), "part": pa.int32(), "id": pa.int64(), "tf": pa.int64()})) for r in rows]
+    blocks = [b for batch in keywordindex._posting_blocks(iter(batches)) for b in batch.to_pylist()]
+    assert [(b["term"], b["part"], len(b["ids"])) for b in blocks] == [("a", 0, 2), ("a", 1, 1), ("b", 0, keywordindex.BLOCK_POSTINGS), ("b", 0, 1)]
+    one = 0.1 / retrieval.ZETA2
+    assert blocks[0]["ids"] == [1, 2] and abs(blocks[0]["weights"][0] - 1.25 * one) < 1e-15 and blocks[0]["most"] == max(blocks[0]["weights"])
