@@ -178,8 +178,40 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
     return model
 
 
+class _Slots(dict):
+    """Memory of up to three letters, packed by ``_packed`` -> slot of the n-gram that they and a kind make."""
+
+    def __init__(self, kind: str):
+        super().__init__()
+        self.kind = kind
+
+    def __missing__(self, code: int) -> int:
+        letters = (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF)
+        name = self.kind + "".join(chr(c) for c in letters if c)
+        self[code] = zlib.crc32(name.encode()) % SLOTS
+        return self[code]
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Slots of codes; each distinct one is looked up once."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        known, place = np.unique(codes, return_inverse=True)
+        return np.fromiter(map(self.__getitem__, known.tolist()), np.int64, len(known))[place]
+
+
+def _packed(letters: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ``sizes`` letters (1 to 3) before each of ``ends`` as one number; no letter is 0."""
+    codes = letters[ends - 1].copy()
+    for k in (2, 3):
+        codes += np.where(sizes >= k, letters[ends - k], 0) << 21 * (k - 1)
+    return codes
+
+
 class Scorer(dict):
-    """Memory of word -> row of ``table`` (exponentiated scores); -1 for a run without a letter."""
+    """Memory of word -> row of ``table`` (exponentiated scores); -1 for a run without a letter.
+
+    A new word gets its row at once; the rows of all new words are worked out together by ``fill``.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
@@ -187,25 +219,61 @@ class Scorer(dict):
         self.size = len(model.languages)
         self.table = np.empty((1024, max(self.size, 1)))
         self.rows = 0
+        self.new: list[str] = []
+        self.grams, self.heads, self.tails = _Slots(""), _Slots("p"), _Slots("s")
 
     def __missing__(self, word: str) -> int:
-        if not any(c.isalpha() for c in word):
+        if not (word.isalpha() or any(c.isalpha() for c in word)):
             self[word] = -1
             return -1
-        score = self.model.weights[features(word, self.model.lexicon)].sum(axis=0)
-        if self.rows == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[self.rows] = np.exp(score - score.max())
-        self[word] = self.rows
-        self.rows += 1
+        self[word] = self.rows + len(self.new)
+        self.new.append(word)
         return self[word]
 
+    def slots(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the words' features, word after word in the order of ``features``, and where each word's begin."""
+        size = np.array([len(w) for w in words])
+        # Two letters before the first word, so that three letters may be taken anywhere.
+        letters = np.frombuffer(f"  <{'><'.join(words)}>".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        first = 3 + np.cumsum(size + 2) - (size + 2)
+        lexicon = [self.model.lexicon.get(w, ()) for w in words]
+        number = 2 * size + 7 + np.array([len(ks) for ks in lexicon])
+        begins = np.cumsum(number) - number
+        out = np.empty(number.sum(), dtype=np.int64)
+        each = lambda count: np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        pairs, triples = each(size + 1), each(size)
+        ends = np.concatenate([np.repeat(first + 1, size + 1) + pairs, np.repeat(first + 2, size) + triples])
+        places = np.concatenate([np.repeat(begins, size + 1) + pairs, np.repeat(begins + size + 1, size) + triples])
+        out[places] = self.grams.of(_packed(letters, ends, np.repeat([2, 3], [len(pairs), len(triples)])))
+        for k in (1, 2, 3):
+            least = np.minimum(size, k)
+            out[begins + 2 * size + k] = self.heads.of(_packed(letters, first + least, least))
+            out[begins + 2 * size + 3 + k] = self.tails.of(_packed(letters, first + size, least))
+        for at, ks in zip((begins + 2 * size + 7).tolist(), lexicon, strict=True):
+            if ks:
+                out[at : at + len(ks)] = [zlib.crc32(f"lexicon {k}".encode()) % SLOTS for k in ks]
+        return out, begins
+
+    def fill(self) -> None:
+        """Work out the rows of the new words, about CHUNK_WORDS at once."""
+        for at in range(0, len(self.new), CHUNK_WORDS // 8):
+            words = self.new[at : at + CHUNK_WORDS // 8]
+            slots, begins = self.slots(words)
+            scores = np.add.reduceat(self.model.weights[slots], begins, axis=0)
+            while self.rows + len(words) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.table[self.rows : self.rows + len(words)] = np.exp(scores - scores.max(axis=1, keepdims=True))
+            self.rows += len(words)
+        self.new.clear()
+
     def by_word(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of all words with a letter, text after text, and how many each text has."""
         if self.rows > REMEMBERED:
             self.clear()
             self.rows = 0
-        ids = [np.array([i for i in map(self.__getitem__, words) if i >= 0], dtype=np.int64) for words in texts]
+        ids = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
+        self.fill()
+        ids = [i[i >= 0] for i in ids]
         lengths = np.array([len(i) for i in ids], dtype=np.int64)
         full = np.flatnonzero(lengths)
         if not len(full) or not self.size:

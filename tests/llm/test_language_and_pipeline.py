@@ -62,6 +62,31 @@ def test_code_switched_text_is_labelled_by_word(spark, sf_dir):
     assert np.abs(means[:, en] - 0.5).mean() < 0.1 and np.abs(means[:, de] - 0.5).mean() < 0.1
 
 
+def test_new_words_are_scored_together(monkeypatch):
+    rng = np.random.default_rng(1)
+    words = ["a", "zu", "été", "ß", "漢", "漢字", "x\U00020000y", "ⅷa", "p", "sp"]
+    words += ["".join(rng.choice(list("abcdef"), int(n))) for n in rng.integers(1, 30, 3000)]
+    words = list(dict.fromkeys(words))
+    model = langid.Model(["de", "en"], rng.standard_normal((langid.SLOTS, 2)).astype(np.float32), np.zeros((2, 2)), {"a": (0, 1), "zu": (0,)})
+    want = [langid.features(w, model.lexicon) for w in words]
+    slots, begins = langid.Scorer(model).slots(words)
+    assert [s.tolist() for s in np.split(slots, begins[1:])] == want
+    hashed = []
+    crc32 = zlib.crc32
+    monkeypatch.setattr(langid.zlib, "crc32", lambda data: hashed.append(data) or crc32(data))
+    scorer = langid.Scorer(model)
+    scorer.by_word([words[:50], ["²", *words], ["a"]])
+    # An n-gram is hashed once, whatever the number of words that hold it.
+    assert 3 * len(hashed) < sum(len(w) for w in words)
+    assert scorer["²"] == -1 and scorer.rows == len(words) and not scorer.new
+    for word, row in zip(words, want):
+        score = model.weights[row].sum(axis=0)
+        assert np.allclose(scorer.table[scorer[word]], np.exp(score - score.max()), rtol=1e-5)
+    alone = langid.Scorer(model)
+    alone.by_word([[words[-1]]])
+    assert (alone.table[0] == scorer.table[scorer[words[-1]]]).all()
+
+
 def test_language_of_odd_texts(spark):
     rows = [(i, "the cat and the dog went out", "en", "s", 1) for i in range(9)] + [(i, "der Hund und die Katze", "de", "s", 1) for i in range(9, 18)]
     rows += [(20, None, "en", "s", 1), (21, "", None, "s", 1), (22, "123 ½ ²!", "de", "s", 1), (23, "the dog " * 30000, None, "s", 1), (None, "und die", None, None, None), (24, "the", "en", "s", 1), (24, "the", "en", "s", 1)]
