@@ -132,6 +132,13 @@ def orphans(children: DataFrame, parents: DataFrame, child_key: str, key: str) -
     return children.join(parents.select(F.col(key).alias("parent_key")), F.col(child_key) == F.col("parent_key"), "left_anti")
 
 
+def run_lines(strs: str, ys: str, jump: float = 2.0) -> Column:
+    """Page text from a page's runs and their heights, two arrays in order: a new line where y jumps by over 2."""
+    breaks = lambda i: (i > 0) & (F.abs(F.get(ys, i) - F.get(ys, i - 1)) > jump)
+    pieces = F.transform(strs, lambda piece, i: F.concat(F.when(breaks(i), "\n").otherwise(""), piece))
+    return F.regexp_replace(F.array_join(pieces, ""), r"\n{2,}", "\n")
+
+
 def glyph_lines(items: DataFrame, jump: float = 2.0) -> DataFrame:
     """Page text from positioned glyph runs (document, page, seq, str, y, has_eol): a new line where y jumps by over 2.
 
