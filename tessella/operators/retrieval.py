@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessella.functions import python_text as P
 from tessella.functions import text as T
 from tessella.operators import vectorindex
-from tessella.operators.blocks import meet
+from tessella.operators.blocks import BROADCAST_BYTES, meet
 from tessella.session import ship
 from tessella.sources.scratch import Tables
 
@@ -30,6 +31,8 @@ STOP_WORDS = (
 ).split()
 #: Texts of a block.
 SLICE = 1024
+#: Pairs of a row and a query that a part of an inverted index may have.
+PART_HITS = 1 << 19
 #: Distinct terms of a block of keyword queries.
 BLOCK_TERMS = 8192
 _TOKEN = re.compile("[a-z0-9]+")
@@ -52,11 +55,28 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, block: int =
 
 
 def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
-    """Inverted index: (term, id, tf), of all terms or of those in ``only``, which are then kept before they are counted."""
-    terms = docs.select(F.col(key).alias("id"), F.explode(T.tokens(text)).alias("term"))
-    if only is not None:
-        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
-    return terms.groupBy("term", "id").agg(F.count("*").alias("tf"))
+    """Inverted index: (term, id, tf), of all terms or of those of ``only`` (query_id, term), which are then kept before they move.
+
+    Terms are counted text by text in the scan. The counts move once, to parts by id, where those of one id are added
+    up. With ``only`` a part has about PART_HITS pairs of a row and a query, so that a task's share is the same whatever
+    the number of rows, and ``keyword_search`` scores the rows of a part where they are.
+    """
+    ship(docs.sparkSession)
+    counted = docs.select(F.col(key).alias("id"), text)
+    schema = StructType([StructField("term", StringType()), counted.schema["id"], StructField("tf", LongType())])
+    counted = counted.mapInArrow(term_counts(False, nulls=True), schema)
+    if only is None:
+        return counted.groupBy("term", "id").agg(F.sum("tf").alias("tf"))
+    queries = only.select(F.count_distinct("query_id")).first()[0]
+    parts = max(1, -(-docs.count() * queries // PART_HITS))
+    kept = counted.join(_small(only).select("term").distinct(), "term", "left_semi")
+    return kept.repartition(parts, "id").groupBy("id", "term").agg(F.sum("tf").alias("tf")).select("term", "id", "tf")
+
+
+def _small(terms: DataFrame) -> DataFrame:
+    """The terms of queries, marked to go out to the rows if they are few, as their summed size shows."""
+    total = terms.agg(F.sum(F.length("term") + 16)).first()[0] or 0
+    return F.broadcast(terms) if total <= BROADCAST_BYTES else terms
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -72,7 +92,7 @@ def keyword_search(terms: DataFrame, index: DataFrame, k: int = CANDIDATES) -> D
     weight = F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
     # A posting's weight is worked out once, not once for each query that holds its term.
     weighed = index.select("term", "id", (0.1 * weight / ZETA2).alias("weight"))
-    hits = weighed.join(terms, "term").select("query_id", "id", (F.col("weight") / F.col("n_terms")).alias("part"))
+    hits = weighed.join(_small(terms), "term").select("query_id", "id", (F.col("weight") / F.col("n_terms")).alias("part"))
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
     return top_k(scored, "query_id", F.desc("score"), "id", k)
 
@@ -93,22 +113,26 @@ def keyword_top(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, stemme
     return top_k(pairs.mapInArrow(_best_texts(k), "query_id long, id long, score double"), "query_id", F.desc("score"), "id", k)
 
 
-def term_counts(stemmed: bool = False):
-    """Task function: (id, text) to each text's distinct terms and how often it has them: (term, id, tf)."""
+def term_counts(stemmed: bool = False, nulls: bool = False):
+    """Task function: (id, text) to each text's distinct terms and how often it has them: (term, id, tf).
+
+    Texts without an id are left out, unless ``nulls`` keeps them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stems: dict[str, str] = {}
         for batch in batches:
-            ids, terms, numbers = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key is not None and text:
+            sizes, terms, numbers = np.zeros(batch.num_rows, dtype=np.int64), [], []
+            for place, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if (nulls or key is not None) and text:
                     if len(stems) > 200_000:
                         stems.clear()
                     found = Counter(_words(text, stemmed, stems))
-                    ids += [key] * len(found)
+                    sizes[place] = len(found)
                     terms += found
                     numbers += found.values()
-            columns = [pa.array(terms, type=pa.string()), pa.array(ids, type=pa.int64()), pa.array(numbers, type=pa.int64())]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+            columns = [pa.array(terms, type=pa.string()), ids, pa.array(numbers, type=pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "tf"])
 
     return run

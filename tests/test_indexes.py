@@ -162,3 +162,31 @@ def test_posting_blocks_add_up_counts_of_one_id_across_batches():
     assert [(b["term"], b["part"], len(b["ids"])) for b in blocks] == [("a", 0, 2), ("a", 1, 1), ("b", 0, keywordindex.BLOCK_POSTINGS), ("b", 0, 1)]
     one = 0.1 / retrieval.ZETA2
     assert blocks[0]["ids"] == [1, 2] and abs(blocks[0]["weights"][0] - 1.25 * one) < 1e-15 and blocks[0]["most"] == max(blocks[0]["weights"])
+
+
+def test_parts_of_an_inverted_index_grow_in_number_only(spark, monkeypatch):
+    """Counts move once, by id; a part has as many rows whatever the size of the table, and is scored where it is."""
+    monkeypatch.setattr(retrieval, "PART_HITS", 200)
+    rng = random.Random(6)
+    docs = some_docs(rng, range(300))
+    asked = [(q, text) for q, text in QUERIES if q in (1, 2, 5)]
+    terms = retrieval.query_terms(spark.createDataFrame(asked, "query_id long, text string"), "query_id", "text")
+    given = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    for n in (100, 300):
+        index = retrieval.postings(given(docs[:n]), "id", "text", terms)
+        assert index.rdd.getNumPartitions() == -(-n * 3 // 200)
+        found = retrieval.keyword_search(terms, index, 5)
+        assert scored(found) == plain_search(docs[:n], asked, 5)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(query_id#" in plan
+        assert not re.search(r"Exchange hashpartitioning\((term|id|query_id)#\d+L?, (term|id)#", plan)
+
+
+@pytest.mark.parametrize("only", [True, False])
+def test_postings_of_repeated_and_missing_ids(spark, monkeypatch, only):
+    monkeypatch.setattr(retrieval, "PART_HITS", 2)
+    rows = [("x", "a b B"), (None, "b"), ("x", "b c"), (None, "B b"), ("y", None), ("z", "")]
+    docs = spark.createDataFrame(rows, "name string, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "b"), (2, "b"), (2, "nothing")], "query_id long, term string") if only else None
+    got = sorted((r.term, r.id or "", r.tf) for r in retrieval.postings(docs, "name", "text", asked).collect())
+    assert got == [r for r in [("a", "x", 1), ("b", "", 3), ("b", "x", 3), ("c", "x", 1)] if not only or r[0] == "b"]
