@@ -113,3 +113,18 @@ def test_cases_on_letters_of_long_upper_case_give_the_sql(spark, tmp_path):
         got = plans.QUERIES[name](spark, str(tmp_path))
         expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.SQL[name]})").fetchall()
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected)), name
+
+
+def test_cases_with_blanks_and_letters_that_normalisation_would_change_give_the_sql(spark, tmp_path):
+    """The string that is looked for begins an answer as it stands: a line feed, blanks at its ends, wide letters."""
+    from tessella.plans import service as plans
+
+    texts = ["A.\nAll rights 5", "a", " a  b 5", "Zu ", "a\t5", "\u00a0ab 5\u3000", "５５５ 5", "ΑΣ 5", "İx 5", "–—x 5", "“q” 5", "\x0bab 5", "x\x0b\n5", "ﬁx 5", "a\u20115 zq", None, ""]
+    rows = [(60 * n + i, t) for n, t in enumerate(texts) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("case_scores", "eval_totals", "eval_report"):
+        got = plans.QUERIES[name](spark, str(tmp_path))
+        expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.SQL[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected)), name
