@@ -124,7 +124,7 @@ def test_cases_with_blanks_and_letters_that_normalisation_would_change_give_the_
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("case_scores", "eval_totals", "eval_report"):
+    for name in ("case_scores", "judge_override", "case_diagnosis", "eval_totals", "eval_report"):
         got = plans.QUERIES[name](spark, str(tmp_path))
         expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.SQL[name]})").fetchall()
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected)), name
