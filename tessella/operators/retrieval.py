@@ -125,9 +125,7 @@ def term_counts(stemmed: bool = False, nulls: bool = False):
             sizes, terms, numbers = np.zeros(batch.num_rows, dtype=np.int64), [], []
             for place, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if (nulls or key is not None) and text:
-                    if len(stems) > 200_000:
-                        stems.clear()
-                    found = Counter(_words(text, stemmed, stems))
+                    found = counted(text, stemmed, stems)
                     sizes[place] = len(found)
                     terms += found
                     numbers += found.values()
@@ -182,6 +180,21 @@ def _packed_queries(stemmed: bool, block: int):
     return run
 
 
+def counted(text: str, stemmed: bool, stems: dict[str, str]) -> dict[str, int]:
+    """Distinct terms of a text and how often it has them; ``stems`` remembers the stems of words, up to a bound."""
+    words = Counter(_TOKEN.findall(text.lower()))
+    if not stemmed:
+        return words
+    if len(stems) > 200_000:
+        stems.clear()
+    found: dict[str, int] = {}
+    for word, n in words.items():
+        if (term := stems.get(word)) is None:
+            term = stems[word] = P.stem(word)
+        found[term] = found.get(term, 0) + n
+    return found
+
+
 def _words(text: str | None, stemmed: bool, stems: dict[str, str]) -> list[str]:
     words = _TOKEN.findall((text or "").lower())
     if not stemmed:
@@ -191,18 +204,20 @@ def _words(text: str | None, stemmed: bool, stems: dict[str, str]) -> list[str]:
     return [stems[w] for w in words]
 
 
+def by_term(asked: list[list[str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of terms; of each term in this order its queries and their shares, and where a term's begin."""
+    numbers: dict[str, int] = {}
+    for terms in asked:
+        for term in terms:
+            numbers.setdefault(term, len(numbers))
+    pairs = sorted((numbers[t], q, 1.0 / len(terms)) for q, terms in enumerate(asked) for t in terms)
+    term, query, share = (np.array(c) for c in zip(*pairs, strict=True))
+    return numbers, query, share, np.searchsorted(term, np.arange(len(numbers) + 1))
+
+
 def _best_texts(k: int):
     """Task function: the k best texts of a block for each query of a block, for each joined pair."""
 
-    def prepared(asked: list[list[str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
-        numbers: dict[str, int] = {}
-        for terms in asked:
-            for term in terms:
-                numbers.setdefault(term, len(numbers))
-        pairs = sorted((numbers[t], q, 1.0 / len(terms)) for q, terms in enumerate(asked) for t in terms)
-        term, query, share = (np.array(c) for c in zip(*pairs, strict=True))
-        return numbers, query, share, np.searchsorted(term, np.arange(len(numbers) + 1))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[tuple, tuple] | None = None
         for batch in batches:
@@ -211,7 +226,7 @@ def _best_texts(k: int):
                 ids, queries = array("ids").to_numpy(), array("query_ids").to_numpy()
                 name = (queries.tobytes(), len(queries))
                 if known is None or known[0] != name:
-                    known = name, prepared(array("asked").to_pylist())
+                    known = name, by_term(array("asked").to_pylist())
                 numbers, query, share, first = known[1]
                 # A term is looked up once a block.
                 coded = array("terms").dictionary_encode()

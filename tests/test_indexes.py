@@ -190,3 +190,37 @@ def test_postings_of_repeated_and_missing_ids(spark, monkeypatch, only):
     asked = spark.createDataFrame([(1, "b"), (2, "b"), (2, "nothing")], "query_id long, term string") if only else None
     got = sorted((r.term, r.id or "", r.tf) for r in retrieval.postings(docs, "name", "text", asked).collect())
     assert got == [r for r in [("a", "x", 1), ("b", "", 3), ("b", "x", 3), ("c", "x", 1)] if not only or r[0] == "b"]
+
+
+@pytest.mark.parametrize("shares", [False, True])
+def test_stored_search_shuffles_texts_and_best_rows_only(spark, tmp_path, monkeypatch, shares):
+    """No posting and no hit is a row of a shuffle; texts of one id, cut by batches, are one document."""
+    monkeypatch.setattr(keywordindex, "RANGE_DOCS", 8)
+    monkeypatch.setattr(keywordindex, "FIRST_RANGES", 1)
+    if shares:
+        monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(keywordindex, "QUERY_BLOCK", 2, raising=False)
+    rng = random.Random(11)
+    docs = some_docs(rng, range(120))
+    rows = [*docs, *some_docs(rng, range(0, 120, 3)), *[(7, "river bridge")] * 20, (None, "river")]
+    whole = {}
+    for i, text in rows:
+        if i is not None:
+            whole[i] = f"{whole.get(i, '')} {text}"
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "3")
+        index = keywordindex.KeywordIndex(spark, str(tmp_path / "index"), True)
+        index.append(spark.createDataFrame(rows, "id long, text string").repartition(3))
+        found = index.search(spark.createDataFrame(QUERIES, "query_id long, text string"), 5)
+        assert scored(found) == plain_search(list(whole.items()), QUERIES, 5, True)
+    finally:
+        spark.conf.set(size, before)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not re.search(r"Exchange hashpartitioning\((segment#|term#|part#|query_id#\d+L?, id#)", plan)
+
+
+def test_stems_of_words_with_y_and_long_ends():
+    words = "yes syzygy happy sky dying trying employed conflated hopping filing hissing agreed rationalizations generalizations controll yyy"
+    assert [P.stem(w) for w in words.split()] == "ye syzygi happi sky dy try emploi conflat hop file hiss agre ration gener control yyi".split()
